@@ -21,12 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each SimHash group."""
+    """Keeps the smallest doc_id of each SimHash group; a row without an id is nobody's copy and stays."""
     groups = simhash.near_duplicates(docs)
     # a group's first document stays; of rows with the same doc_id one stays
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.dropDuplicates(["doc_id"]) if _repeated(groups) else docs
-    return kept.join(first, "doc_id", "left_semi").select(docs.columns)
+    kept = kept.where("doc_id is not null").join(first, "doc_id", "left_semi").select(docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def _repeated(groups: DataFrame) -> bool:
