@@ -31,6 +31,13 @@ _chunk = re.compile(rf"[ \n]*(?:[{_letters}]+(?=[{_marks} \n]|\Z)|[{_marks}]+(?=
 _word = re.compile(rf" [{_letters}]+").fullmatch
 
 
+def _gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of values with these begins and lengths, one after the other."""
+    at = np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return values[at]
+
+
 class Encoder:
     """Encodes lists of texts; holds one tokenizer and its cache for a worker's lifetime."""
 
@@ -41,7 +48,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, np.ndarray] = {}
+        #: Places of cached chunks; a place's ids are ``sizes`` values from ``starts`` on.  Place 0 is a document's end.
+        self.cache: dict[str, int] = {}
+        self.values = np.array([END], np.uint32)
+        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Which ids begin a word with its space, or else end a word.
         self.begins = not any(t.endswith("</w>") for t in tokens)
@@ -57,73 +67,73 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def _raw(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def _raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and how many each text has."""
+        ids: list[np.ndarray] = [np.empty(0, np.uint32)]
         for at in range(0, len(texts), 2000):
-            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
-        return out
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
+        return np.concatenate(ids), np.fromiter(map(len, ids[1:]), np.int64, len(texts))
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of plain letters, each with one space before it."""
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of plain letters, each with one space before it."""
         groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
-        out: list[np.ndarray] = []
-        for group, ids in zip(groups, self._raw(["".join(g) for g in groups]), strict=True):
-            at = np.flatnonzero(self.marked[ids])
-            if len(at) != len(group) or not self.marked[ids[0 if self.begins else -1]]:
-                out += self._raw(group)
-            else:
-                out += np.split(ids, at[1:] if self.begins else at[:-1] + 1)
-        return out
-
-    def _chunks(self, distinct: list[str]) -> list[np.ndarray]:
+        ids, sizes = self._raw(["".join(g) for g in groups])
+        marks, ends = np.flatnonzero(self.marked[ids]), np.cumsum(sizes)
+        parts = np.searchsorted(marks, np.concatenate([[0], ends]))
+        if (np.diff(parts) == np.fromiter(map(len, groups), np.int64, len(groups))).all():
+            edges = marks[parts[:-1]] == ends - sizes if self.begins else marks[parts[1:] - 1] == ends - 1
+            if edges.all():
+                return ids, np.diff(np.append(marks, len(ids)) if self.begins else np.append(-1, marks))
+        if len(groups) == 1:
+            return self._raw(words)
+        half = len(groups) // 2 * JOINED
+        found = self._words(words[:half]), self._words(words[half:])
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _chunks(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each chunk's ids begin and how many they are, and the ids."""
         cache = self.cache
-        found = [cache.get(c) for c in distinct]
-        missing = [k for k, ids in enumerate(found) if ids is None]
+        place = np.fromiter((cache.get(c, -1) for c in distinct), np.int64, len(distinct))
+        begins, lengths = self.starts[place], self.sizes[place]
+        missing = np.flatnonzero(place < 0).tolist()
         words = [k for k in missing if _word(distinct[k])]
-        others = sorted(set(missing) - set(words))
+        seen = set(words)
+        others = [k for k in missing if k not in seen]
+        values, kept = [self.values], []
+        at = len(self.values)
         for rows, encode in ((words, self._words), (others, self._raw)):
-            for k, ids in zip(rows, encode([distinct[k] for k in rows]), strict=True):
-                found[k] = ids
-                if len(cache) < CACHE_CHUNKS and len(distinct[k]) <= CACHE_LENGTH:
-                    cache[distinct[k]] = ids.copy()
-        return found
+            if rows:
+                ids, sizes = encode([distinct[k] for k in rows])
+                begins[rows], lengths[rows] = at + np.cumsum(sizes) - sizes, sizes
+                values.append(ids)
+                at += len(ids)
+                kept += [k for k in rows if len(distinct[k]) <= CACHE_LENGTH]
+        joined = np.concatenate(values)
+        kept = kept[: max(0, CACHE_CHUNKS - len(cache))]
+        if kept:
+            first = len(self.starts)
+            cache.update(zip([distinct[k] for k in kept], range(first, first + len(kept)), strict=True))
+            own = lengths[kept]
+            self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(own) - own])
+            self.sizes = np.concatenate([self.sizes, own])
+            self.values = np.concatenate([self.values, _gathered(joined, begins[kept], own)])
+        return begins, lengths, joined
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order with END after each text, and each text's offset into them (one more at the end)."""
-        whole: dict[int, np.ndarray] = {}
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         rare = _odd.search("".join(set("".join(t for t in texts if t))))
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            if rare and _odd.search(text):
-                whole[k] = self._raw([text])[0]
-                continue
-            own = _chunk.findall(text)
-            counts[k] = len(own)
-            chunks += own
+            if text:
+                own = [text] if rare and _odd.search(text) else _chunk.findall(text)
+                counts[k] = len(own)
+                chunks += own
         coded = pa.array(chunks, pa.large_string()).dictionary_encode()
-        codes = np.asarray(coded.indices, np.int64)
-        distinct = self._chunks(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        values = np.concatenate(distinct) if distinct else np.empty(0, np.uint32)
-        begins = np.cumsum(lengths) - lengths
-        each = lengths[codes]
-        stops = np.cumsum(each)
-        plain = values[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(begins[codes] - (stops - each), each)]
-        at = np.concatenate([[0], np.cumsum(counts)])
-        stops = np.concatenate([[0], stops])
-        sizes = stops[at[1:]] - stops[at[:-1]]
-        for k, ids in whole.items():
-            sizes[k] = len(ids)
-        offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
-        out = np.empty(int(offsets[-1]), np.uint32)
-        ends = np.zeros(len(out), bool)
-        ends[offsets[1:] - 1] = True
-        out[ends] = END
-        for k, ids in whole.items():
-            out[offsets[k] : offsets[k] + len(ids)] = ids
-            ends[offsets[k] : offsets[k] + len(ids)] = True
-        out[~ends] = plain
-        return out, offsets
+        begins, lengths, values = self._chunks(coded.dictionary.to_pylist())
+        # a text's end is one more chunk, which the first id of the cache stands for
+        stops = np.cumsum(counts)
+        codes = np.insert(np.asarray(coded.indices, np.int64), stops, len(begins))
+        each = np.append(lengths, 1)[codes]
+        out = _gathered(values, np.append(begins, 0)[codes], each)
+        return out, np.concatenate([[0], np.cumsum(each)[stops + np.arange(len(texts))]])
