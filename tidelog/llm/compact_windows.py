@@ -272,9 +272,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     width = min_words - STRIDE + 1
 
     def holders(rows: DataFrame, *keys: str) -> DataFrame:
-        """First holder of each key that two documents have."""
+        """First holder of each key that two documents have; written, so that the joins with it can split a hot key's rows."""
         first = F.min(F.struct("doc_id", "position", "before", "after"))
-        return rows.groupBy(*keys).agg(first.alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id").drop("last")
+        named = rows.groupBy(*keys).agg(first.alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id").drop("last")
+        return scratch.keep(named, "holders")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_document(batches):
@@ -296,7 +297,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # every way to add STRIDE - 1 surrounding words to a short single probe, for all rows with its hash
     need = STRIDE - 1
-    singles = found.join(joined.where("short").select("hash").distinct(), "hash", "left_semi")
+    singles = found.join(scratch.keep(joined.where("short").select("hash").distinct(), "short"), "hash", "left_semi")
     low = lambda side, count: F.expr(f"{side} & (shiftleft(1L, cast({count} * {AROUND_BITS} as int)) - 1)")
     whole = lambda side, count: F.expr(f"{count} = 0 or shiftrightunsigned({side}, cast(({count} - 1) * {AROUND_BITS} as int)) & {(1 << AROUND_BITS) - 1} != 0")
     grown = singles.select("*", F.explode(F.sequence(F.lit(0), F.lit(need))).alias("left")).withColumn("right", need - F.col("left"))
