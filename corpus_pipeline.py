@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import compact_windows, packing, pfair, simhash, site_quality
+from tidelog.llm import compact_windows, near_copies, packing, pfair, site_quality
 from tidelog.llm.queries import MIX_POWER, table
 from tidelog.llm.scratch import Scratch
 
@@ -21,18 +21,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each SimHash group; a row without an id is nobody's copy and stays."""
-    groups = simhash.near_duplicates(docs)
+    """Keeps the smallest doc_id of each group of near copies (five words, 0.8); a row without an id is nobody's copy and stays."""
+    groups = near_copies.near_copies(docs)
     # a group's first document stays; of rows with the same doc_id one stays
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]) if _repeated(groups) else docs
-    # the ids that stay grow with the corpus: the same join at every size
-    kept = kept.where("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    others = groups.where("node != component").select(F.col("node").alias("doc_id"))
+    kept = docs.dropDuplicates(["doc_id"]) if _repeated(docs) else docs
+    # the ids that go grow with the corpus: the same join at every size
+    kept = kept.where("doc_id is not null").join(others.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     return kept.union(docs.where("doc_id is null"))
 
 
-def _repeated(groups: DataFrame) -> bool:
-    row = groups.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+def _repeated(docs: DataFrame) -> bool:
+    row = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     return row.n != row.d
 
 

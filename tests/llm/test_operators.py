@@ -167,3 +167,35 @@ def test_empty_table(spark, docs, labels, name):
         "mix": lambda: pfair.mix(none.select("doc_id", "source", "lang", "n_chars"), power=0.5), "sites": lambda: site_quality.judge(none, labels, F.col("source"), F.col("lang")),
     }
     assert made[name]().count() == 0
+
+
+def test_near_copies(spark):
+    import random
+
+    import corpus_pipeline
+    from tidelog.llm import near_copies
+
+    pick = random.Random(3)
+    data = []
+    for k in range(120):
+        text = [f"w{pick.randrange(5000)}" for _ in range(pick.randrange(60, 400))]
+        data.append((len(data), " ".join(text)))
+        for _ in range(k % 3):
+            copy = [f"c{pick.randrange(5000)}" if pick.random() < 0.004 * (k % 12) else w for w in text]
+            data.append((len(data), " ".join(copy).title() if k % 2 else " ".join(copy)))
+    data += [(len(data), "one two"), (len(data) + 1, "One  two"), (len(data) + 2, None), (len(data) + 3, " "), (None, data[0][1])]
+    grams = {k: {tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} for k, t in data if k is not None for w in [words((t or "").lower())]}
+    part, low = {k: k for k in grams}, 0
+    for a in grams:
+        for b in range(a):
+            same = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+            low += 0.8 <= same < 0.9
+            if same >= 0.8 and part[a] != part[b]:
+                gone, to = max(part[a], part[b]), min(part[a], part[b])
+                part = {k: to if v == gone else v for k, v in part.items()}
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert low > 5
+    got = {r.node: r.component for r in near_copies.near_copies(df, cell_words=1000).collect()}
+    assert {k: got.get(k, k) for k in part} == part
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert sorted(k for k in kept if k is not None) == sorted(set(part.values())) and kept.count(None) == 1

@@ -1,6 +1,6 @@
 """SimHash near-duplicate groups found with vantage-point trees.
 
-A fingerprint has 64 bits over the XXH64 hashes of lower-cased 3-word shingles.  Two fingerprints
+A fingerprint has 64 bits over the XXH64 hashes of lower-cased shingles of three words (``shingle``).  Two fingerprints
 link if they differ in at most three bits.  Such a pair differs in at most one bit in the upper or in
 the lower half, so two vantage-point trees, each over the Hamming distance of one half, find every
 pair with a query ball of radius one: the triangle inequality prunes all branches except those whose
@@ -43,16 +43,16 @@ MAX_DEPTH = 12
 SAMPLE_PER_LEAF = 24
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The unsigned 64-bit fingerprint of one whole text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
-    n = max(1, len(words) - SHINGLE + 1)
+    n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = [0, *(ends[: n - 1] + 1).tolist()]
-    stops = ends[SHINGLE - 1 :].tolist() if len(words) > SHINGLE else [len(joined)]
+    stops = ends[shingle - 1 :].tolist() if len(words) > shingle else [len(joined)]
     digest = xxhash.xxh64_digest
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
@@ -65,13 +65,13 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                fps = [_signed(fingerprint(t)) for t in part.column("text").to_pylist()]
+                fps = [_signed(fingerprint(t, shingle)) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -219,12 +219,12 @@ def links(nodes: DataFrame, scratch: Scratch, bits: int = BITS, shard: int = SHA
     return scratch.keep(placed.groupBy("leaf", "cell").applyInArrow(compare, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs``."""
     if bits != BITS:
         raise ValueError("the two half trees with radius one are exact for three bits")
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = scratch.keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     # a fingerprint's node is its smallest doc_id; one that no doc_id carries links nothing that has an id
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     groups = scratch.keep(groups, "distinct")
