@@ -42,14 +42,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+#: The place in the mixture, carried to the packing stage: the order of files isn't one.
+POSITION = "_position"
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the documents in the order in which their sources interleave by target weight."""
-    return pfair.mix(docs, power=MIX_POWER, ordered=True).select(docs.columns)
+    """Gives each document its place in the interleaving of the sources by target weight."""
+    return pfair.mix(docs, power=MIX_POWER, ordered=True).select(*docs.columns, F.col("position").alias(POSITION))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences; documents of a length are dealt to them in the order of the mixture."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token sequences, numbered in the order of the mixture."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), order_col=POSITION)
 
 
 STAGES = [

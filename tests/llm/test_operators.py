@@ -199,3 +199,33 @@ def test_near_copies(spark):
     assert {k: got.get(k, k) for k in part} == part
     kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert sorted(k for k in kept if k is not None) == sorted(set(part.values())) and kept.count(None) == 1
+
+
+def test_mixture_reaches_packing(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(pfair, "RANKED_ROWS", 200)
+    monkeypatch.setattr(packing, "ORDERED_ROWS", 300)
+    # source a has long documents, b short ones, c few
+    data = [(k, " ".join(f"w{(k + n) % 97}" for n in range((900, 120, 300)["abc"[k % 3] == "b" and 1 or (k % 3)] + k % 50)), "abc"[k % 3] if k % 9 != 2 else "a") for k in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.mixing(spark, df, "")
+    # rows come in any order and from many files
+    pieces = corpus_pipeline.pack(spark, mixed.repartition(7, "doc_id"), "").collect()
+    place = {r.doc_id: r["_position"] for r in mixed.collect()}
+    source = {k: s for k, _, s in data}
+    total = sum(p.length for p in pieces)
+    assert {p.doc_id for p in pieces} == set(source) and {p.sequence_id for p in pieces} == set(range(max(p.sequence_id for p in pieces) + 1))
+
+    def shares(ordered, part):
+        held, seen = Counter(), 0
+        for p in ordered:
+            if seen < part * total:
+                held[source[p.doc_id]] += p.length
+                seen += p.length
+        return {s: held[s] / seen for s in "abc"}
+
+    for part in (0.1, 0.25, 0.5, 0.75):
+        goal = shares(sorted(pieces, key=lambda p: place[p.doc_id]), part)
+        got = shares(sorted(pieces, key=lambda p: p.sequence_id), part)
+        assert all(abs(goal[s] - got[s]) < 0.06 for s in "abc"), (part, goal, got)
