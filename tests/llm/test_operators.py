@@ -229,3 +229,13 @@ def test_mixture_reaches_packing(spark, monkeypatch):
         goal = shares(sorted(pieces, key=lambda p: place[p.doc_id]), part)
         got = shares(sorted(pieces, key=lambda p: p.sequence_id), part)
         assert all(abs(goal[s] - got[s]) < 0.06 for s in "abc"), (part, goal, got)
+
+
+def test_rare_toxic_words(spark):
+    # eleven toxic documents of 76 hold two words; two without a label hold them too, on a site that is good
+    rude = dict.fromkeys(range(11), "scum moron") | {100: "scum moron", 101: "Moron! Scum"}
+    data = [(k, f"{' '.join(f'w{(k * 13 + n * 7) % 31}' for n in range(60))} {rude.get(k, 'friend')}", "big", "en") for k in range(110)]
+    labels = spark.createDataFrame([(k, 1, int(k in rude)) for k in range(76)], "doc_id long, quality int, toxic int")
+    got = by_id(site_quality.judge(spark.createDataFrame(data, "doc_id long, text string, source string, lang string"), labels, F.col("source"), F.col("lang")))
+    assert {k for k, r in got.items() if r.toxic_score >= 0.8} == set(rude)
+    assert {k for k, r in got.items() if not r.kept} == set(rude)

@@ -3,13 +3,15 @@
 Evidence of a document's own text comes from two small models fitted on labelled rows: a ridge logistic
 regression on the shapes of its words (letters, capitals, digits and marks, runs collapsed) for quality, and
 log-odds of hashed words that toxic documents hold significantly more often for toxicity.  A document is good
-if it is of quality and not toxic.
+if it is of quality and not toxic.  Toxic words are counted over all labelled documents, as sums made by Spark, and
+chosen by a likelihood ratio, which holds for rare words too: a word that none but a few toxic documents hold counts.
 
 Sites form a hierarchy: all documents, a host, a path of the host.  Grouped aggregation over all documents sums
 their evidence (a labelled document counts with its label) by path and by host.  Each level is a beta-binomial
 whose prior is its parent's posterior mean; the prior's strength comes from the between-group variance by the
 method of moments, so sparse sites shrink to their parent and large ones speak for themselves.  A document's
-posterior odds are its own odds times its path's odds over the global odds; ``threshold`` decides.
+posterior odds are its own odds times its path's odds over the global odds; ``threshold`` decides.  A document whose
+own text is as likely toxic as ``toxic_limit`` isn't kept, however good its site.
 
 Nulls and edge cases: a null or blank text has no words and gets the labelled rows' average evidence; null hosts
 or paths form one site of their own; without labels of both kinds the evidence is the average and everything
@@ -38,8 +40,9 @@ THRESHOLD = 0.4
 SHAPES = 1024
 WORDS = 1 << 18
 RIDGE = 1e-3
-#: A word speaks for toxicity from this many standard errors and this log-odds on.
-MIN_Z, MIN_ODDS = 4.0, 1.5
+#: A word speaks for toxicity from this signed root of the likelihood ratio, log-odds and toxic documents on.
+MIN_ROOT, MIN_ODDS, MIN_HELD = 3.9, 1.5, 3
+TOXIC_LIMIT = 0.8
 
 
 def _logit(p):
@@ -88,11 +91,54 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shape and hashed lower-cased letters of each distinct word."""
     shapes = word_shapes(words).dictionary_encode()
     shape = (hash_words(shapes.dictionary.to_pylist(), 1) % np.uint64(SHAPES)).astype(np.int64)[np.asarray(shapes.indices, np.int64)]
+    return shape, hashed(words)
+
+
+def likelihood_root(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Signed root of the likelihood ratio of words held by a of the toxic and b of the clean documents."""
+    total, held = toxic + clean, a + b
+    out = np.zeros(len(a))
+    for seen, wanted in ((a, held * toxic), (b, held * clean), (toxic - a, (total - held) * toxic), (clean - b, (total - held) * clean)):
+        out += seen * np.log(np.maximum(seen, 1e-300) * total / np.maximum(wanted, 1e-300))
+    return np.sign(a * total - held * toxic) * np.sqrt(np.maximum(0, 2 * out))
+
+
+def word_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """How many labelled documents that are not toxic (0), and toxic ones (1), there are, and how many of them hold each hashed word."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.coalesce(F.col("toxic").cast("int"), F.lit(0))).alias("toxic"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(known, "_id").select("text", (F.col("toxic") > 0).alias("toxic"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, held = np.zeros(2, np.int64), np.zeros((2, WORDS), np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                flat, offsets = split_words(part.column("text"))
+                coded = flat.dictionary_encode()
+                word = hashed(coded.dictionary)[np.asarray(coded.indices, np.int64)]
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+                documents += np.bincount(toxic, minlength=2)
+                pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(offsets)) * WORDS + word)
+                np.add.at(held, (toxic[pairs // WORDS], pairs % WORDS), 1)
+        # word -1 stands for the documents themselves
+        used = np.flatnonzero(held.any(axis=0))
+        yield pa.record_batch([pa.array(np.concatenate([[-1], used])), *(pa.array(np.concatenate([[documents[k]], held[k][used]])) for k in (0, 1))], names=["word", "clean", "toxic"])
+
+    # one row for each hashed word: WORDS + 1 at most
+    found = texts.mapInArrow(count, "word long, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    words, out = np.asarray(found.column("word"), np.int64), np.zeros((2, WORDS + 1), np.int64)
+    for k, name in enumerate(("clean", "toxic")):
+        out[k][words] = np.asarray(found.column(name), np.int64)
+    return out[:, -1], out[:, :-1]
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """Hashed lower-cased letters of each distinct word."""
     bare = pc.utf8_lower(pc.utf8_trim(words, ".,;:!?\"'()[]*#$%&|"))
-    return shape, (hash_words(bare.to_pylist(), 2) % np.uint64(WORDS)).astype(np.int64)
+    return (hash_words(bare.to_pylist(), 2) % np.uint64(WORDS)).astype(np.int64)
 
 
-def fit_evidence(sample: pa.Table) -> Evidence:
+def fit_evidence(sample: pa.Table, documents: np.ndarray, held: np.ndarray) -> Evidence:
+    """``sample``: labelled texts; the other two: see ``word_counts``."""
     texts = sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
     quality = np.asarray(sample.column("quality"), np.float64)
     toxic = np.asarray(sample.column("toxic"), np.float64) > 0
@@ -125,19 +171,16 @@ def fit_evidence(sample: pa.Table) -> Evidence:
         empty.shapes[used], empty.bias = beta[:-1], float(beta[-1])
     else:
         empty.bias = float(_logit((quality.sum() + 1) / (len(quality) + 2)))
-    if 0 < toxic.sum() < len(toxic):
-        pairs = np.unique(doc * WORDS + word[codes])
-        hold = np.bincount(pairs % WORDS, minlength=WORDS)
-        hold_toxic = np.bincount(pairs % WORDS, weights=toxic[pairs // WORDS], minlength=WORDS)
-        a, b = hold_toxic + 0.5, hold - hold_toxic + 0.5
-        c, d = toxic.sum() - hold_toxic + 0.5, (~toxic).sum() - (hold - hold_toxic) + 0.5
-        odds = np.log(a * d / (b * c))
-        chosen = (odds >= MIN_ODDS) & (odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) >= MIN_Z)
-        empty.toxic = np.where(chosen, np.log(a / (toxic.sum() + 1)) - np.log(b / ((~toxic).sum() + 1)), 0.0)
+    if documents.all():
+        with_word, clean_with = held[1], held[0]
+        n_toxic, n_clean = int(documents[1]), int(documents[0])
+        a, b, c, d = with_word + 0.5, clean_with + 0.5, n_toxic - with_word + 0.5, n_clean - clean_with + 0.5
+        chosen = (with_word >= MIN_HELD) & (np.log(a * d / (b * c)) >= MIN_ODDS) & (likelihood_root(with_word, clean_with, n_toxic, n_clean) >= MIN_ROOT)
+        empty.toxic = np.where(chosen, np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)), 0.0)
         # the rest of toxic documents hold none of these words; absence shifts the odds by what the sample says
-        spoken = np.isin(np.arange(len(texts)), np.unique(pairs[chosen[pairs % WORDS]] // WORDS))
+        spoken = np.isin(np.arange(len(texts)), doc[chosen[word[codes]]])
         silent = ((toxic & ~spoken).sum() + 0.5) / ((~spoken).sum() + 1.0)
-        empty.toxic_bias = float(_logit(np.clip(min(silent, toxic.mean()), 1e-4, 0.5)))
+        empty.toxic_bias = float(_logit(np.clip(min(silent, n_toxic / (n_toxic + n_clean)), 1e-4, 0.5)))
     return empty
 
 
@@ -164,14 +207,14 @@ def site_posteriors(scored: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(joined.select("host", "path", "host_score", "path_score", (F.log(F.col("path_score") / (1 - F.col("path_score"))) - float(_logit(mean))).alias("odds")), "posteriors")
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, keep_columns: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, toxic_limit: float = TOXIC_LIMIT, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, keep_columns: bool = False) -> DataFrame:
     """doc_id, host, path, doc_score, toxic_score, host_score, path_score, posterior, kept of each row.
 
     With ``keep_columns``: the rows of ``docs`` that are kept, as they were.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "site-quality")
-    model = spark.sparkContext.broadcast(fit_evidence(labelled_texts(docs, labels, rows, max_bytes, id_col, text_col)))
+    model = spark.sparkContext.broadcast(fit_evidence(labelled_texts(docs, labels, rows, max_bytes, id_col, text_col), *word_counts(docs, labels, id_col, text_col)))
     text = F.col(text_col).cast("string").alias("_text")
     site = (F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
 
@@ -191,7 +234,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
             for part in slices(batch, "_text"):
                 good, toxic = model.value.scores(part.column("_text"))
                 posterior = _sigmoid(_logit(good) + np.asarray(part.column("odds"), np.float64))
-                kept = posterior >= threshold
+                kept = (posterior >= threshold) & (toxic < toxic_limit)
                 if keep_columns:
                     yield part.select(names).filter(pa.array(kept))
                 else:
