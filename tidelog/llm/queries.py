@@ -60,7 +60,8 @@ MIX_POWER = 0.5
 
 
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), power=MIX_POWER)
+    """Every document, whole, with its place in the mixture."""
+    return pfair.mix(table(spark, sf_dir, "documents"), power=MIX_POWER)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,19 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Column names that no column of the input has (names are compared as Spark does, without case)."""
+    held = {n.lower() for n in taken}
+    out = []
+    for name in names:
+        made = f"_{name}"
+        while made.lower() in held:
+            made = f"_{made}"
+        held.add(made.lower())
+        out.append(made)
+    return out
+
+
 class Scratch:
     """Tables written once and read again; a lost executor never forces more than a reread.
 
