@@ -4,19 +4,23 @@ Layout of a store (a folder that the cluster shares):
 
 * ``shard-*.ids``: the ids of the shard's documents, one after another, as little-endian unsigned
   16-bit integers where the vocabulary allows it, else 32-bit;
-* ``shard-*.idx``: a JSON line with the arrays' names, types and lengths, then the arrays: ``keys`` and
-  ``valid`` of all rows, ``offsets`` (in ids), and the index, which are the hash's ``bits``, ``ranks``
-  and ``levels``, and for each slot a 32-bit ``prints`` fingerprint, ``first`` row and ``run`` length;
-* ``manifest``: a Parquet table with a row for each shard: files, rows, tokens, ids before the shard.
-
-Documents lie in ascending key order over all shards.  The hash of a key gives its slot in constant
-expected time, the slot's stored fingerprint tells strangers apart, and the slot's row gives the byte
-range of the ids.  A task writes under a name of its own, and only names in the manifest count, so a
-task that runs twice does no harm.
+* ``shard-*.idx``: eight bytes with the length of a JSON text, that text (the arrays' names, types and
+  lengths), then the arrays: ``keys`` and ``valid`` of all rows, ``offsets`` (in ids), and the index, which
+  are the hash's ``bits``, ``ranks`` and ``levels``, and for each slot a 32-bit ``prints`` fingerprint,
+  ``first`` row and ``run`` length;
+* ``manifest``: a Parquet table with a row for each shard: file name, rows, tokens, least and greatest key,
+  ids before the shard.
+
+Documents lie in ascending key order over all shards, so the manifest's key bounds name a key's shard.  The
+hash of the key gives its slot in constant expected time, the slot's stored fingerprint tells strangers
+apart, and the slot's row gives the byte range of the ids: ``Store.get`` reads some hundred bytes of the index
+and the ids themselves, whatever the store's size.  A task writes under a name of its own, and only names in
+the manifest count, so a task that runs twice does no harm.
 
 Nulls and edge cases: a null or empty text holds the end id alone; rows with a null key are stored
-first and are reached by position only; rows that share a key are stored side by side and the key
-finds all of them; an empty table makes a store without shards; other columns are ignored.
+first and are reached by position only; rows that share a key are stored side by side (in several shards
+if they are many) and the key finds all of them; a key that isn't there finds nothing; a long text is one row
+of a shard; an empty table makes a store without shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.scratch import Scratch
@@ -100,24 +104,34 @@ def _prints(keys: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """One shard of a store, read by position or by key."""
+    """One shard of a store, read by position or by key.  Arrays are read when they are asked for, whole or in part."""
 
     def __init__(self, folder: str, name: str):
         files, base = _open(folder)
-        raw = files.open_input_file(f"{base}/{name}.idx").readall()
-        head, _, body = raw.partition(b"\n")
-        at, arrays = 0, {}
-        for key, kind, length in json.loads(head):
-            arrays[key] = np.frombuffer(body, kind, length, at)
-            at += arrays[key].nbytes
-        self.keys, self.valid, self.offsets = arrays["keys"], arrays["valid"].astype(bool), arrays["offsets"]
-        self.prints, self.first, self.run = arrays["prints"], arrays["first"], arrays["run"]
-        self.kind = np.dtype("<u2" if arrays["width"][0] == 2 else "<u4")
-        self.hash = MinimalPerfectHash(arrays["bits"], arrays["ranks"], arrays["levels"], arrays["rest"])
+        self.index = files.open_input_file(f"{base}/{name}.idx")
+        length = int.from_bytes(self.index.read_at(8, 0), "little")
+        at, self.places = 8 + length, {}
+        for key, kind, count in json.loads(self.index.read_at(length, 8)):
+            self.places[key] = (np.dtype(kind), count, at)
+            at += np.dtype(kind).itemsize * count
+        self.kind = np.dtype("<u2" if self.part("width")[0] == 2 else "<u4")
         self.ids_file = files.open_input_file(f"{base}/{name}.ids")
 
+    def part(self, key: str, first: int = 0, count: int | None = None) -> np.ndarray:
+        """Some values of an array, read from their place in the file."""
+        kind, length, at = self.places[key]
+        count = length - first if count is None else count
+        return np.frombuffer(self.index.read_at(count * kind.itemsize, at + first * kind.itemsize), kind)
+
+    def load(self) -> Shard:
+        """Reads the whole index, for many keys at once."""
+        self.keys, self.valid, self.offsets = self.part("keys"), self.part("valid").astype(bool), self.part("offsets")
+        self.prints, self.first, self.run = self.part("prints"), self.part("first"), self.part("run")
+        self.hash = MinimalPerfectHash(self.part("bits"), self.part("ranks"), self.part("levels"), self.part("rest"))
+        return self
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each key; zero rows where the stored fingerprint differs."""
+        """First row and number of rows of each key (after ``load``); zero rows where the stored fingerprint differs."""
         keys = np.asarray(keys, np.int64)
         slot = self.hash.slots(keys.view(np.uint64))
         known = slot >= 0
@@ -130,10 +144,56 @@ class Shard:
         """Ids from one offset to another."""
         return np.frombuffer(self.ids_file.read_at((stop - start) * self.kind.itemsize, start * self.kind.itemsize), self.kind)
 
+    def slot(self, key: int) -> int:
+        """A key's slot, from one word of each level that it is tried in; -1 if it has none."""
+        value, base = np.array([key], np.int64).view(np.uint64), 0
+        for level, words in enumerate(self.part("levels").tolist()):
+            at = int((mix(value, level) % np.uint64(words * 64))[0])
+            word = int(self.part("bits", base + (at >> 6), 1)[0])
+            if word >> (at & 63) & 1:
+                return int(self.part("ranks", base + (at >> 6), 1)[0]) + (word & ((1 << (at & 63)) - 1)).bit_count()
+            base += words
+        # the few keys that no level could place come last
+        rest = self.part("rest")
+        at = int(np.searchsorted(rest, value[0]))
+        return self.places["prints"][1] - len(rest) + at if at < len(rest) and rest[at] == value[0] else -1
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every document of a key in this shard."""
+        slot = self.slot(key)
+        if slot < 0 or self.part("prints", slot, 1)[0] != _prints(np.array([key], np.int64))[0]:
+            return []
+        first, run = int(self.part("first", slot, 1)[0]), int(self.part("run", slot, 1)[0])
+        # 32 bits may agree by chance
+        if int(self.part("keys", first, 1)[0]) != key:
+            return []
+        offsets = self.part("offsets", first, run + 1).tolist()
+        return [self.ids(a, b) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+class Store:
+    """A whole store, read by key."""
+
+    def __init__(self, folder: str):
+        import pyarrow.parquet as pq
+
+        self.folder = folder
+        files, base = _open(folder)
+        held = pq.read_table(f"{base}/manifest", filesystem=files, columns=["name", "first_key", "last_key"]).drop_null().sort_by("first_key")
+        self.names = held.column("name").to_pylist()
+        self.first_keys, self.last_keys = held.column("first_key").to_numpy(), held.column("last_key").to_numpy()
+        self.shards: dict[str, Shard] = {}
+
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of every document of a key."""
-        (first,), (run,) = self.find(np.array([key]))
-        return [self.ids(int(self.offsets[r]), int(self.offsets[r + 1])) for r in range(first, first + run) if self.keys[r] == key]
+        out = []
+        # shards follow each other by key: those of one key are neighbours
+        for k in range(int(np.searchsorted(self.last_keys, key)), int(np.searchsorted(self.first_keys, key, side="right"))):
+            name = self.names[k]
+            if name not in self.shards:
+                self.shards[name] = Shard(self.folder, name)
+            out += self.shards[name].get(key)
+        return out
 
 
 def _write_index(target, keys: np.ndarray, valid: np.ndarray, offsets: np.ndarray, width: int) -> None:
@@ -147,7 +207,8 @@ def _write_index(target, keys: np.ndarray, valid: np.ndarray, offsets: np.ndarra
         "keys": keys.astype("<i8"), "valid": valid.astype("u1"), "offsets": offsets.astype("<i8"), "width": np.array([width], "<i8"), "bits": found.bits,
         "ranks": found.ranks, "levels": found.levels, "rest": found.rest, "prints": prints, "first": first, "run": runs,
     }
-    target.write(json.dumps([[k, v.dtype.str, len(v)] for k, v in arrays.items()]).encode() + b"\n")
+    head = json.dumps([[k, v.dtype.str, len(v)] for k, v in arrays.items()]).encode()
+    target.write(len(head).to_bytes(8, "little") + head)
     for values in arrays.values():
         target.write(values.tobytes())
 
@@ -175,24 +236,23 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
         if target is None:
             return
         target.close()
-        keys, sizes = np.concatenate(keys), np.concatenate(sizes)
+        keys, sizes, valid = np.concatenate(keys), np.concatenate(sizes), np.concatenate(valid)
         with files.open_output_stream(f"{base}/{name}.idx") as index:
-            _write_index(index, keys, np.concatenate(valid), np.concatenate([[0], np.cumsum(sizes)]), kind.itemsize)
+            _write_index(index, keys, valid, np.concatenate([[0], np.cumsum(sizes)]), kind.itemsize)
         from pyspark import TaskContext
 
-        yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "name": name, "rows": len(keys), "tokens": int(sizes.sum())}])
+        bounds = [int(f(keys[valid])) if valid.any() else None for f in (np.min, np.max)]
+        row = [TaskContext.get().partitionId(), name, len(keys), int(sizes.sum()), *bounds]
+        yield pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["shard", "name", "rows", "tokens", "first_key", "last_key"])
 
     scratch = Scratch(spark, "token-index")
     _make(spark, folder)
     # equal keys spread by their text, so that one key cannot fill a shard unless its rows are equal
     ordered = docs.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    written = scratch.keep(ordered.mapInArrow(run, "shard long, name string, rows long, tokens long"), "written")
-    # a row for each shard, that is for each SHARD_BYTES of text
-    before, starts = 0, []
-    for row in sorted(written.select("shard", "tokens").collect()):
-        starts.append((row.shard, before))
-        before += row.tokens
-    written.join(spark.createDataFrame(starts, "shard long, start long"), "shard").write.mode("overwrite").parquet(f"{folder}/manifest")
+    written = scratch.keep(ordered.mapInArrow(run, "shard long, name string, rows long, tokens long, first_key long, last_key long"), "written")
+    # a narrow row for each shard, that is for each SHARD_BYTES of text: their running sum is one task's
+    before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    written.withColumn("start", F.coalesce(before, F.lit(0))).write.mode("overwrite").parquet(f"{folder}/manifest")
     scratch.drop()
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -210,7 +270,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(folder, row["name"])
+                shard = Shard(folder, row["name"]).load()
                 first, count = shard.find(shard.keys[shard.valid])
                 lookup = np.flatnonzero(~shard.valid)
                 if len(first):

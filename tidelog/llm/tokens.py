@@ -6,7 +6,7 @@ plain punctuation after it.  Chunks repeat far more than texts: each distinct ch
 a batch, and the first ones stay in a bounded cache.  Words of plain letters are encoded many at a time,
 joined by spaces; the marks that the vocabulary puts on a word's first or last id part them again.
 A text with any other white space (or a control character that only some libraries count as white
-space) is encoded whole.
+space), and a text that holds one of the vocabulary's special tokens, is encoded whole.
 """
 
 from __future__ import annotations
@@ -47,12 +47,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         #: Places of cached chunks; a place's ids are ``sizes`` values from ``starts`` on.  Place 0 is a document's end.
         self.cache: dict[str, int] = {}
         self.values = np.array([END], np.uint32)
         self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Finds a special token; its letters may be written in any case.
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
         #: Which ids begin a word with its space, or else end a word.
         self.begins = not any(t.endswith("</w>") for t in tokens)
         self.marked = np.zeros(max(tokens.values()) + 1, bool)
@@ -126,7 +128,7 @@ class Encoder:
         rare = _odd.search("".join(set("".join(t for t in texts if t))))
         for k, text in enumerate(texts):
             if text:
-                own = [text] if rare and _odd.search(text) else _chunk.findall(text)
+                own = [text] if rare and _odd.search(text) or self.special(text) else _chunk.findall(text)
                 counts[k] = len(own)
                 chunks += own
         coded = pa.array(chunks, pa.large_string()).dictionary_encode()
