@@ -28,6 +28,7 @@ def rows():
         out.append((k, text, lang, "abc"[k % 3], len(text), "x", "y"))
     out += [(60, None, None, None, None, None, None), (61, "", "en", "a", 0, None, None), (62, " \t\n", "en", "a", 3, None, None)]
     out += [(63, out[0][1], "en", "a", 1, None, None), (64, out[0][1].upper(), "en", "a", 1, None, None), (65, "word " * 60000, "en", "b", 1, None, None), (66, "a b", "de", None, 3, None, None)]
+    out += [(67, "hello <|startoftext|> world<|endoftext|>", "en", "a", 1, None, None), (68, "x <|ENDOFTEXT|>y\tz <|endoftext|", "en", "a", 1, None, None)]
     return out
 
 
@@ -51,7 +52,6 @@ def words(text):
 
 def test_token_store(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     got, start = by_id(token_index.token_store(docs, public_tokenizers.path("word_bpe_49k.json"))), 0
     for r in rows():
         ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1]
@@ -108,7 +108,6 @@ def test_simhash(docs):
 
 def test_packing(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     for r in rows():
         ids, at = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1], 0
@@ -239,3 +238,104 @@ def test_rare_toxic_words(spark):
     got = by_id(site_quality.judge(spark.createDataFrame(data, "doc_id long, text string, source string, lang string"), labels, F.col("source"), F.col("lang")))
     assert {k for k, r in got.items() if r.toxic_score >= 0.8} == set(rude)
     assert {k for k, r in got.items() if not r.kept} == set(rude)
+
+
+def test_store_by_key(spark, tmp_path, monkeypatch):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(token_index, "SHARD_BYTES", 4000)
+    texts = {k: f"text number {k} of the store <|endoftext|> {'long ' * (k % 50)}" for k in range(-150, 450, 3)}
+    data = [*texts.items(), *((9, f"again {n}") for n in range(300)), (None, "no key"), (600, None)]
+    folder = str(tmp_path / "store")
+    manifest = token_index.write_store(spark.createDataFrame(data, "doc_id long, text string"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    shards = manifest.orderBy("shard").collect()
+    assert len(shards) > 3 and shards[0].start == 0 and all(b.start == a.start + a.tokens for a, b in zip(shards, shards[1:], strict=False))
+    encoded = lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+    wanted = {}
+    for k, t in data:
+        wanted.setdefault(k, []).append(encoded(t))
+    store = token_index.Store(folder)
+    for k in range(-160, 610):
+        assert sorted(x.tolist() for x in store.get(k)) == sorted(wanted.get(k, [])), k
+
+
+def test_perfect_hash():
+    import numpy as np
+
+    for n in (0, 1, 2, 1000, 50_000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+        assert sorted(token_index.MinimalPerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))
+
+
+def earliest_deadlines(weights, slots):
+    """The schedule from its beginning, with fractions."""
+    from fractions import Fraction
+
+    whole = sum(Fraction(w) for w in weights)
+    share = [Fraction(w) / whole for w in weights]
+    done, out = [0] * len(weights), []
+    for t in range(slots):
+        ready = [k for k in range(len(weights)) if math.floor(done[k] / share[k]) <= t]
+        k = min(ready, key=lambda k: (math.ceil((done[k] + 1) / share[k]), k))
+        done[k] += 1
+        out.append(k)
+    return out
+
+
+def test_pfair_schedule():
+    import random
+    from itertools import islice
+
+    import numpy as np
+
+    pick = random.Random(4)
+    for trial in range(60):
+        weights = [float(pick.randrange(1, 9)) if trial % 3 == 0 else pick.random() ** pick.choice([1, 4]) + 1e-3 for _ in range(pick.randrange(1, 7))]
+        parts, wanted = pfair.parts_of(weights), earliest_deadlines(weights, 150)
+        assert list(islice(pfair.line(parts, 0, [0] * len(weights)), 150)) == wanted
+        for t in range(0, 150, 11):
+            assert pfair.counts_at(parts, t) == [wanted[:t].count(k) for k in range(len(weights))]
+
+
+def test_pfair_deviation():
+    from itertools import islice
+
+    import numpy as np
+
+    for weights in ([math.sqrt(n) for n in (400_000, 300_000, 120_000, 50_000, 7_000, 333)], [0.9, 0.07, 0.03], [math.pi, math.e, 0.001]):
+        slots = 1_000_000
+        found = np.fromiter(islice(pfair.line(pfair.parts_of(weights), 0, [0] * len(weights)), slots), np.int64, slots)
+        for k, w in enumerate(weights):
+            assert np.abs(np.cumsum(found == k) - np.arange(1, slots + 1) * (w / sum(weights))).max() < 1
+
+
+def test_pfair_table(spark, monkeypatch):
+    import numpy as np
+
+    # a hot source, small ones, null, and columns named like the operator's own
+    data = [(k, "hot" if k % 3 else None if k % 21 == 0 else f"s{k % 5}", f"text {k}", -1, -1, "x", "y") for k in range(6000)] + [(1, "hot", "text 1", -1, -1, "x", "y")] * 3
+    df = spark.createDataFrame(data, "doc_id long, source string, text string, slot long, position long, _order string, _key string").repartition(5)
+    weights = {s: w for s, w in (("hot", math.sqrt(2)), (None, 0.1))}
+    got = pfair.mix(df, weights, power=0.5).orderBy("position").collect()
+    assert Counter((r.doc_id, r.source, r.text) for r in got) == Counter((k, s, t) for k, s, t, *_ in data)
+    assert len({r.position for r in got}) == len(data) and all(r["_order"] == "x" and r["_key"] == "y" for r in got)
+    # one source in each slot, eight rows at most, and every slot of the plan used
+    held = Counter(r.source for r in got)
+    of = {}
+    for r in got:
+        assert of.setdefault(r.slot, r.source) == r.source
+    assert sorted(of) == list(range(sum(-(-n // 8) for n in held.values())))
+    assert max(Counter(r.slot for r in got).values()) <= 8
+    # until the first source has had its last block, each has its share to within a block
+    goal = {s: weights.get(s) or held[s] ** 0.5 for s in held}
+    line = [of[t] for t in range(len(of))]
+    first_end = min(max(t for t in range(len(line)) if line[t] == s) for s in held)
+    for s in held:
+        own = np.cumsum([x == s for x in line[: first_end + 1]])
+        assert np.abs(own - np.arange(1, first_end + 2) * goal[s] / sum(goal.values())).max() < 1
+    # the partitions of the input change nothing
+    again = pfair.mix(df.repartition(2), weights, power=0.5).collect()
+    assert sorted((r.position, r.doc_id) for r in again) == [(r.position, r.doc_id) for r in got]
+    # the number of rows that a task ranks changes no count
+    monkeypatch.setattr(pfair, "RANKED_ROWS", 100_000)
+    whole = pfair.mix(df, weights, power=0.5).collect()
+    assert Counter((r.slot, r.source) for r in whole) == Counter((r.slot, r.source) for r in got)
