@@ -48,7 +48,7 @@ POSITION = "_position"
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document its place in the interleaving of the sources by target weight."""
-    return pfair.mix(docs, power=MIX_POWER, ordered=True).select(*docs.columns, F.col("position").alias(POSITION))
+    return pfair.mix(docs, power=MIX_POWER, slot_col="_slot", position_col=POSITION).select(*docs.columns, POSITION)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
