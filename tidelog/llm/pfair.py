@@ -37,15 +37,21 @@ from tidelog.llm.scratch import Scratch, unused
 #: Rows of a block, and rows of all sources that go to one rank of hash blocks.
 BLOCK_ROWS = 8
 RANKED_ROWS = 2048
-#: Weights are whole parts of this: after t slots the rounding is t / 2**49 of a block at most.
-PARTS = 1 << 48
+#: Weights whose common whole parts sum to EXACT at most are taken as they are, others as whole parts of PARTS: after t
+#: slots that rounding is t / 2**49 of a block at most.
+EXACT, PARTS = 1 << 24, 1 << 48
 #: Slots whose room is looked at together, and slots that are run together.
 SCAN = 1 << 16
 
 
 def parts_of(weights: list[float]) -> list[int]:
-    """Each weight in parts of PARTS, by largest remainder, one at least."""
-    exact = [Fraction(w) for w in weights]
+    """The weights as whole numbers: exact ones, or parts of PARTS by largest remainder, one at least."""
+    exact = [Fraction(w).limit_denominator(1000) if abs(Fraction(w).limit_denominator(1000) - Fraction(w)) < 1e-15 * w else Fraction(w) for w in weights]
+    shared = math.lcm(*(w.denominator for w in exact))
+    plain = [int(w * shared) for w in exact]
+    plain = [w // math.gcd(*plain) for w in plain]
+    if sum(plain) <= EXACT:
+        return plain
     whole = sum(exact)
     exact = [w * PARTS / whole for w in exact]
     out = [max(1, math.floor(x)) for x in exact]
@@ -58,13 +64,14 @@ def parts_of(weights: list[float]) -> list[int]:
 
 def counts_at(parts: list[int], slot: int) -> list[int]:
     """Blocks of each source that the schedule has run before the slot."""
-    done = [slot * a // PARTS for a in parts]
-    over = [slot * a % PARTS for a in parts]
+    total = sum(parts)
+    done = [slot * a // total for a in parts]
+    over = [slot * a % total for a in parts]
     need = slot - sum(done)
     if not need:
         return done
     # released blocks whose deadline is still to come: one at most of each source
-    options = sorted((-(-(done[k] + 1) * PARTS // a), k, done[k] * PARTS // a) for k, a in enumerate(parts) if over[k])
+    options = sorted((-(-(done[k] + 1) * total // a), k, done[k] * total // a) for k, a in enumerate(parts) if over[k])
     edges = np.array(sorted({r for _, _, r in options}), np.int64)
     # for each range of times up to a release: the least room that the blocks due leave from then on to the slot
     room = np.full(len(edges), need, np.int64)
@@ -73,9 +80,12 @@ def counts_at(parts: list[int], slot: int) -> list[int]:
             back = slot - np.arange(begin, min(begin + SCAN, int(edges[n]) + 1))
             free = back.copy()
             for a, r in zip(parts, over, strict=True):
-                # blocks due that are released in the time, in two steps as a * back may take 96 bits
-                low = (back * (a & 0xFFFFFF)) - r
-                free -= np.maximum(0, (back * (a >> 24) + (low >> 24)) >> 24)
+                # blocks due that are released in the time; in two steps where a * back may take 96 bits
+                if total == PARTS:
+                    due = (back * (a >> 24) + ((back * (a & 0xFFFFFF) - r) >> 24)) >> 24
+                else:
+                    due = (back * a - r) // total
+                free -= np.maximum(0, due)
             room[n] = min(room[n], int(free.min()))
     for _, k, release in options:
         n = int(np.searchsorted(edges, release)) + 1
@@ -90,18 +100,18 @@ def counts_at(parts: list[int], slot: int) -> list[int]:
 
 def line(parts: list[int], start: int, done: list[int]) -> Iterator[int]:
     """The source of each slot from ``start`` on, where ``done`` blocks have been run."""
-    done = list(done)
-    waiting = [(done[k] * PARTS // a, k) for k, a in enumerate(parts)]
+    done, total = list(done), sum(parts)
+    waiting = [(done[k] * total // a, k) for k, a in enumerate(parts)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int]] = []
     slot = start
     while True:
         while waiting and waiting[0][0] <= slot:
             k = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(done[k] + 1) * PARTS // parts[k]), k))
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[k]), k))
         k = heapq.heappop(ready)[1]
         done[k] += 1
-        heapq.heappush(waiting, (done[k] * PARTS // parts[k], k))
+        heapq.heappush(waiting, (done[k] * total // parts[k], k))
         yield k
         slot += 1
 
@@ -125,7 +135,7 @@ def phases(held: list[int], weights: list[float]) -> list[Phase]:
         if len(active) == 1:
             break
         # the phase ends once a source has had its last block; none has before the first release of a last one
-        at = min((left[k] - 1) * PARTS // a for k, a in zip(active, parts, strict=True))
+        at = min((left[k] - 1) * sum(parts) // a for k, a in zip(active, parts, strict=True))
         used = counts_at(parts, at)
         for n in line(parts, at, used):
             used[n] += 1
@@ -157,7 +167,7 @@ def slots(plan: list[Phase], source: int, blocks: np.ndarray) -> np.ndarray:
         cuts = np.flatnonzero(np.diff(wanted) > 64) + 1
         found = []
         for run in np.split(wanted, cuts):
-            at = int(run[0]) * PARTS // phase.parts[n]
+            at = int(run[0]) * sum(phase.parts) // phase.parts[n]
             used = counts_at(phase.parts, at)
             number, goals = used[n], iter(run.tolist())
             goal = next(goals)
