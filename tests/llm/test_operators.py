@@ -285,12 +285,12 @@ def test_pfair_schedule():
     import random
     from itertools import islice
 
-    import numpy as np
-
     pick = random.Random(4)
     for trial in range(60):
         weights = [float(pick.randrange(1, 9)) if trial % 3 == 0 else pick.random() ** pick.choice([1, 4]) + 1e-3 for _ in range(pick.randrange(1, 7))]
-        parts, wanted = pfair.parts_of(weights), earliest_deadlines(weights, 150)
+        parts = pfair.parts_of(weights)
+        assert all(abs(a / sum(parts) - w / sum(weights)) < 1e-14 for a, w in zip(parts, weights, strict=True))
+        wanted = earliest_deadlines(weights if trial % 3 == 0 else parts, 150)
         assert list(islice(pfair.line(parts, 0, [0] * len(weights)), 150)) == wanted
         for t in range(0, 150, 11):
             assert pfair.counts_at(parts, t) == [wanted[:t].count(k) for k in range(len(weights))]
