@@ -15,8 +15,9 @@ own text is as likely toxic as ``toxic_limit`` isn't kept, however good its site
 
 Nulls and edge cases: a null or blank text has no words and gets the labelled rows' average evidence; null hosts
 or paths form one site of their own; without labels of both kinds the evidence is the average and everything
-that the threshold admits stays; equal rows get equal results; an empty table gives an empty result; other
-columns are kept or ignored as the function says.
+that the threshold admits stays; a very long text is scored whole, in a slice of its own; equal rows get equal
+results; an empty table gives an empty result; other columns, whatever their names, are kept or ignored as the
+function says.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.labelled import labelled_texts
-from tidelog.llm.scratch import Scratch
+from tidelog.llm.scratch import Scratch, unused
 from tidelog.llm.textops import hash_words, segment_sums, slices, split_words
 
 SAMPLE_ROWS = 6000
@@ -215,37 +216,29 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
     spark = docs.sparkSession
     scratch = Scratch(spark, "site-quality")
     model = spark.sparkContext.broadcast(fit_evidence(labelled_texts(docs, labels, rows, max_bytes, id_col, text_col), *word_counts(docs, labels, id_col, text_col)))
-    text = F.col(text_col).cast("string").alias("_text")
-    site = (F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
+    names = docs.columns if keep_columns else []
+    id_, host_, path_, text_, good_, toxic_ = unused(docs.columns, "id", "host", "path", "text", "good", "toxic")
+    added = [id_, host_, path_]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), f"{id_} long", f"{host_} string", f"{path_} string", f"{good_} double", f"{toxic_} double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                good, _ = model.value.scores(part.column("_text"))
-                yield pa.record_batch([part.column("_id"), part.column("host"), part.column("path"), pa.array(good)], names=["_id", "host", "path", "good"])
-
-    scored = docs.select(F.col(id_col).cast("long").alias("_id"), *site, text).mapInArrow(score, "_id long, host string, path string, good double")
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.when((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0)).alias("label"))
-    scored = scratch.keep(scored, "evidence").join(known, "_id", "left").select("host", "path", F.coalesce("label", "good").alias("good"))
-    sites = site_posteriors(scored, scratch)
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                good, toxic = model.value.scores(part.column("_text"))
-                posterior = _sigmoid(_logit(good) + np.asarray(part.column("odds"), np.float64))
-                kept = (posterior >= threshold) & (toxic < toxic_limit)
-                if keep_columns:
-                    yield part.select(names).filter(pa.array(kept))
-                else:
-                    yield pa.record_batch([*(part.column(c) for c in ("doc_id", "host", "path")), pa.array(good), pa.array(toxic), part.column("host_score"), part.column("path_score"), pa.array(posterior), pa.array(kept)], names=[*"doc_id host path doc_score toxic_score host_score path_score posterior kept".split()])
-
-    names = docs.columns
-    placed = docs.select(*(names if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]), text, *(c.alias(f"_{n}") for c, n in zip(site, ("host", "path"), strict=True)))
+            for part in slices(batch, text_):
+                good, toxic = model.value.scores(part.column(text_))
+                yield pa.record_batch([*(part.column(n) for n in [*names, *added]), pa.array(good), pa.array(toxic)], names=[*names, *added, good_, toxic_])
+
+    site = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((host, host_), (path, path_))]
+    # each text is scored once; what is kept beside the scores is what the result needs
+    plain = docs.select(*[f"`{n}`" for n in names], F.col(f"`{id_col}`").cast("long").alias(id_), *site, F.col(f"`{text_col}`").cast("string").alias(text_))
+    scored = scratch.keep(plain.mapInArrow(score, schema), "evidence")
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias(id_)).agg(F.min(F.when((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0)).alias("label"))
+    sites = site_posteriors(scored.select(id_, host_, path_, good_).join(known, id_, "left").select(F.col(host_).alias("host"), F.col(path_).alias("path"), F.coalesce("label", good_).alias("good")), scratch)
     # the table of sites is broadcast only if Spark finds it below its threshold; a hot site is split otherwise
-    placed = placed.join(sites.withColumnsRenamed({"host": "_host", "path": "_path", "host_score": "_hs", "path_score": "_ps", "odds": "_odds"}), ["_host", "_path"])
+    hs, ps, odds = unused([*scored.columns], "host_score", "path_score", "odds")
+    placed = scored.join(sites.toDF(host_, path_, hs, ps, odds), [host_, path_])
+    posterior = 1 / (1 + F.exp(-(F.log(F.col(good_) / (1 - F.col(good_))) + F.col(odds))))
+    kept = (posterior >= threshold) & (F.col(toxic_) < toxic_limit)
     if keep_columns:
-        placed = placed.select(*names, "_text", F.col("_odds").alias("odds"))
-        return placed.mapInArrow(decide, docs.schema)
-    placed = placed.select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), "_text", F.col("_hs").alias("host_score"), F.col("_ps").alias("path_score"), F.col("_odds").alias("odds"))
-    return placed.mapInArrow(decide, "doc_id long, host string, path string, doc_score double, toxic_score double, host_score double, path_score double, posterior double, kept boolean")
+        return placed.where(kept).select(*[f"`{n}`" for n in names])
+    return placed.select(F.col(id_).alias("doc_id"), F.col(host_).alias("host"), F.col(path_).alias("path"), F.col(good_).alias("doc_score"), F.col(toxic_).alias("toxic_score"), F.col(hs).alias("host_score"), F.col(ps).alias("path_score"), posterior.alias("posterior"), kept.alias("kept"))
