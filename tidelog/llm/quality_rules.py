@@ -1,11 +1,11 @@
 """Quality rules: plain counts of a text, and a calibrated logistic regression over hashed n-grams.
 
-The model sees mean weights of hashed words and word pairs and of hashed runs of three and four UTF-8 bytes.  It
+The model sees mean weights of hashed words and word pairs and of hashed runs of three and four characters.  It
 is trained by minibatch Adagrad on a bounded sample of rows with a quality label, Platt-scaled on a part of the
 sample that was not trained on, and scores texts in Arrow batches against a fixed threshold.
 
 Nulls and edge cases: a null or blank text has zero of everything and fails the base rules; without labels of
-both kinds the verdict is the base rules' alone; equal rows get equal results; an empty table gives an empty
+both kinds the verdict is the base rules' alone; a very long text is one row, scored whole; equal rows get equal results; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -47,17 +47,17 @@ class Features:
         hashes = mix(hash_words([w.lower() for w in self.words], 5))[self.codes] if self.words else np.empty(0, np.uint64)
         # no pair reaches over a text's end: the sums below take one position less
         pairs = ngram_hashes(hashes, 2)
-        text_offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = texts.buffers()[2]
-        raw = np.frombuffer(data, np.uint8)[text_offsets[0] : text_offsets[-1]].astype(np.uint32) if data is not None and len(texts) else np.empty(0, np.uint32)
-        text_offsets = text_offsets - text_offsets[0] if len(texts) else np.zeros(1, np.int64)
+        plain = texts.to_pylist()
+        text_offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))])
+        raw = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.kinds = [((hashes >> _SHIFT).astype(np.int32), self.offsets, 1), ((pairs >> _SHIFT).astype(np.int32), self.offsets, 2)]
         for n in (3, 4):
             size = max(0, len(raw) - n + 1)
-            key = np.zeros(size, np.uint32)
+            key = np.zeros(size, np.uint64)
             for k in range(n):
-                key = (key << np.uint32(8)) | raw[k : k + size]
-            self.kinds.append((((key * np.uint32(2654435769)) >> np.uint32(18)).astype(np.int32), text_offsets, n))
+                key = key * np.uint64(0x9E3779B97F4A7C15) + raw[k : k + size]
+            key ^= key >> np.uint64(32)
+            self.kinds.append((((key * np.uint64(0xBF58476D1CE4E5B9)) >> _SHIFT).astype(np.int32), text_offsets, n))
 
     def means(self, weights: np.ndarray) -> np.ndarray:
         """Sum over the kinds of the mean weight of a text's features."""
