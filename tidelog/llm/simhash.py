@@ -10,10 +10,10 @@ visits those that its ball overlaps.  Pairs are verified on all 64 bits.  A shar
 forest of its links instead of all pairs, and shards beyond a size are dealt out as a grid of blocks.
 Groups are connected components, by alternating large-star and small-star rounds.
 
-Nulls and edge cases: a null or blank text has fingerprint zero and links like any other; a null
-doc_id keeps its row, has no say in a group's smallest id, and gets that group's id (null if the
-group has no id at all); equal rows stay separate rows; an empty table gives an empty result;
-other columns are ignored.
+Nulls and edge cases: a null or blank text has fingerprint zero and links like any other; a very long text is
+one fingerprint of all its shingles; a row with a null doc_id keeps its row and links like any other, has no
+say in a group's smallest id, and gets that group's id (null if the group has no id at all); equal rows stay
+separate rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +38,10 @@ SHINGLE = 3
 BLOCK = 4096
 #: Shards are planned at this many fingerprints on average.
 SHARD = 2048
-#: Depth of the tree built on the driver, and sampled fingerprints for each of its leaves.
-MAX_DEPTH = 12
-SAMPLE_PER_LEAF = 24
+#: Greatest depth of the tree built on the driver, and sampled fingerprints for each of its leaves.  Beyond 134 million
+#: fingerprints shards grow; they are still compared in full, in blocks, but at a cost that grows with their size.
+MAX_DEPTH = 16
+SAMPLE_PER_LEAF = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -159,7 +160,7 @@ def links(nodes: DataFrame, scratch: Scratch, bits: int = BITS, shard: int = SHA
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total) / shard))))
     wanted = SAMPLE_PER_LEAF << depth
     share = max(1, total // wanted)
-    # at most about 98,000 fingerprints, whatever the table's size
+    # 2 * SAMPLE_PER_LEAF << MAX_DEPTH fingerprints at most (16 MB), whatever the table's size
     sample = np.array([r.fp for r in nodes.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp").limit(2 * wanted).collect()], np.int64)
     trees = [VantageTree(half, depth) for half in halves(sample)] if depth else [VantageTree(half[:0], 0) for half in halves(sample)]
     radius = bits // 2
@@ -225,12 +226,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("the two half trees with radius one are exact for three bits")
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    # a fingerprint's node is its smallest doc_id; one that no doc_id carries links nothing that has an id
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    groups = scratch.keep(groups, "distinct")
-    # a repeated doc_id may be the smallest of several fingerprints: they share a node and so a component
-    nodes = groups.where("node is not null").select("node", "fp")
-    component = connected_components(links(nodes, scratch, bits), scratch)
-    groups = groups.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    groups = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    # fingerprints are the nodes, so rows without an id link like any other
+    component = connected_components(links(groups.select(F.col("fp").alias("node"), "fp"), scratch, bits), scratch)
+    groups = groups.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    smallest = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = scratch.keep(groups.join(smallest, "root").select("fp", "component_id"), "groups")
     out = prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return scratch.finish(out)
