@@ -339,3 +339,112 @@ def test_pfair_table(spark, monkeypatch):
     monkeypatch.setattr(pfair, "RANKED_ROWS", 100_000)
     whole = pfair.mix(df, weights, power=0.5).collect()
     assert Counter((r.slot, r.source) for r in whole) == Counter((r.slot, r.source) for r in got)
+
+
+def longest_matches(text, reference):
+    """Phrases of a greedy parse into the longest substrings of the reference."""
+    at = count = 0
+    while at < len(text):
+        n = 1
+        while at + n <= len(text) and text[at : at + n] in reference:
+            n += 1
+        at += max(1, n - 1)
+        count += 1
+    return count
+
+
+def test_cross_parsing(monkeypatch):
+    import random
+
+    import numpy as np
+
+    pick = random.Random(5)
+    for trial in range(12):
+        letters = b"ab" if trial % 3 == 0 else b"abcdefgh "
+        reference = bytes(pick.choice(letters) for _ in range(pick.choice([1, 30, 400])))
+        texts = [bytes(pick.choice(letters + b"z") for _ in range(pick.choice([1, 7, 63, 64, 65, 500, 3000]))) for _ in range(12)]
+        # a text that the reference holds never closes a phrase within a lane
+        texts += [reference * 3, reference]
+        monkeypatch.setattr(langid, "LANE", pick.choice([1, 16, 64]))
+        size = np.array([len(t) for t in texts])
+        got = langid.Parser(reference).phrases(np.frombuffer(b"".join(texts), np.uint8), size)
+        assert got.tolist() == [longest_matches(t, reference) for t in texts]
+
+
+def test_long_texts_are_learned_from(spark):
+    from tidelog.llm.labelled import labelled_texts
+
+    long = " ".join(f"wort{k % 700}" for k in range(9000))
+    df = spark.createDataFrame([(1, long, "de"), (2, "the cat sat on the mat " * 9, "en"), (3, "wort5 wort6 wort7 " * 5, None), (None, "x y", "xx")], "doc_id long, text string, lang string")
+    got = by_id(langid.identify(df, F.lit(False)))
+    assert got[3].lang_pred == got[1].lang_pred == "de" and got[2].lang_pred == "en"
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = labelled_texts(df, labels, 10, 4000).to_pylist()
+    assert [(r["quality"], r["toxic"]) for r in rows] == [(1, 0), (0, 1)] and len(rows[0]["text"]) == 1000 and rows[0]["text"] in long
+
+
+def test_simhash_without_ids(spark):
+    # a row without an id joins two that have one
+    base = " ".join(f"w{k}" for k in range(400)).split()
+    def changed(*at):
+        return " ".join("zz" if k in at else w for k, w in enumerate(base))
+    texts = [(k, changed(*range(0, 4 * k, 4))) for k in range(0, 60)]
+    prints = {k: simhash.fingerprint(t) for k, t in texts}
+    part = {k: k for k in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= 3:
+                    part[a] = part[b] = min(part[a], part[b])
+    gone = {k for k in prints if k % 2}
+    named = {}
+    for k in prints:
+        if k not in gone:
+            named.setdefault(part[k], k)
+    df = spark.createDataFrame([(None if k in gone else k, t, k) for k, t in texts], "doc_id long, text string, component_id long")
+    got = simhash.near_duplicates(df).collect()
+    wanted = Counter((None if k in gone else k, f"{prints[k]:016x}", named.get(part[k])) for k in prints)
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == wanted
+
+
+def test_site_quality(spark):
+    # clashing names, a long text, nulls and a site of its own
+    good, bad = "The quiet river runs under an old stone bridge , and people walk there .", "BUY NOW !!! $$$ click 4 free ### win 999 %% CASH *** now !!!"
+    data = [(k, (good if k % 2 else bad) + f" w{k}", "a" if k < 80 else "b" if k < 118 else None, "p", 0.5, "h", "t") for k in range(120)] + [(None, good, "a", "p", 0.5, "h", "t"), (500, good * 4000, "a", "p", 0.5, "h", "t"), (501, None, None, None, None, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, kept string, odds double, _host string, _text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(site_quality.judge(df, labels, F.col("source"), F.col("source")))
+    assert len(got) == 122 + 1 and all(got[k].kept == bool(k % 2) for k in range(120)) and got[500].kept
+    kept = site_quality.judge(df, labels, F.col("source"), F.col("source"), keep_columns=True)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(k for k, r in got.items() if r.kept)
+
+
+def test_site_posteriors(spark):
+    # the hierarchy against the same sums in Python
+    import random
+
+    from tidelog.llm.scratch import Scratch
+
+    pick = random.Random(2)
+    data = [(h, f"{h}/{p}", 1.0 if pick.random() < 0.2 + 0.1 * (ord(h) - 97) + 0.05 * p else 0.0) for h in "abcdef" for p in range(4) for _ in range(pick.choice([1, 3, 40]))]
+    got = {(r.host, r.path): r for r in site_quality.site_posteriors(spark.createDataFrame(data, "host string, path string, good double"), Scratch(spark, "test")).collect()}
+    mean = sum(g for *_, g in data) / len(data)
+
+    def shrunk(groups, parent):
+        # (n, s) by group, parent mean by group: method of moments, then the beta-binomial's posterior mean
+        many = [k for k, (n, _) in groups.items() if n > 1]
+        between = sum(n * ((s / n - parent[k]) ** 2 - parent[k] * (1 - parent[k]) / n) for k in many for n, s in [groups[k]]) / sum(groups[k][0] for k in many)
+        within = sum(parent[k] * (1 - parent[k]) for k in many) / len(many)
+        strength = min(1e4, max(1.0, within / max(between, 1e-6) - 1))
+        return {k: (s + strength * parent[k]) / (n + strength) for k, (n, s) in groups.items()}
+
+    hosts, paths = {}, {}
+    for h, p, g in data:
+        for table, key in ((hosts, h), (paths, (h, p))):
+            n, s = table.get(key, (0, 0.0))
+            table[key] = (n + 1, s + g)
+    host = shrunk(hosts, dict.fromkeys(hosts, mean))
+    path = shrunk(paths, {k: host[k[0]] for k in paths})
+    for k, r in got.items():
+        assert r.host_score == pytest.approx(host[k[0]]) and r.path_score == pytest.approx(path[k])
+        assert r.odds == pytest.approx(math.log(path[k] / (1 - path[k])) - math.log(mean / (1 - mean)))
