@@ -10,7 +10,10 @@ exact sets, and a link is kept if it is at least ``similarity``.  A component be
 as a grid of blocks, so every pair of it meets in one task of bounded size.
 
 Nulls and edge cases: words as in the SimHash operator; a text of fewer words than a shingle is one shingle; null and
-blank texts are copies of one another; a row with a null doc_id is left out; rows with equal doc_id share a node.
+blank texts are copies of one another; a very long text is one set, in a slice of its own; a row with a null doc_id
+is left out; rows with equal doc_id are documents of their own, told apart by their texts; of a group the row with
+the smallest doc_id, then the smallest hash of its text, is the first; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import simhash
@@ -57,7 +60,7 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, n
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, the hash of its set, its words and its band hashes (none for a blank text) for each row with an id."""
+    """doc_id, the hashes of its text and of its set, its words, its fingerprint and its band hashes (none for a blank text) for each row with an id."""
     rng = np.random.default_rng(5)
     flips = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
     factors = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,13 +77,19 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
                 key = [xxhash.xxh64_intdigest(sets[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 held = np.zeros(part.num_rows + 1, np.int32)
                 held[full + 1] = BANDS
+                prints = [simhash.fingerprint(t, shingle) for t in part.column("text").to_pylist()]
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(np.cumsum(held, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))],
-                    names=["doc_id", "key", "words", "bands"],
+                    [part.column("doc_id"), part.column("hash"), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.diff(offsets)), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.cumsum(held, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))],
+                    names=["doc_id", "hash", "key", "words", "fp", "bands"],
                 )
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return chosen.mapInArrow(run, "doc_id long, key long, words long, bands array<long>")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    return chosen.mapInArrow(run, "doc_id long, hash long, key long, words long, fp long, bands array<long>")
+
+
+def text_hash(text_col: str) -> Column:
+    """Tells rows of the same doc_id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def verified(sets: np.ndarray, offsets: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
@@ -115,32 +124,37 @@ def verified(sets: np.ndarray, offsets: np.ndarray, similarity: float) -> tuple[
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", cell_words: int = CELL_WORDS) -> DataFrame:
-    """(node, component) of each doc_id with a copy or near copy; component is the group's smallest doc_id."""
+    """doc_id, hash (of the text), component (the group's smallest doc_id), first (whether this is the group's first row) of each row with an id."""
     scratch = Scratch(docs.sparkSession, "near-copies")
     prints = scratch.keep(sketches(docs, shingle, id_col, text_col), "sketches")
-    distinct = scratch.keep(prints.groupBy("key").agg(F.min(F.struct("doc_id", "words", "bands")).alias("least")).select("key", "least.*"), "distinct")
-    same = prints.select("doc_id", "key").join(distinct.select("key", F.col("doc_id").alias("node")), "key").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    buckets = distinct.select(F.col("doc_id").alias("a"), F.posexplode("bands").alias("band", "hash"))
+    # the nodes are the sets; one row stands for each
+    distinct = scratch.keep(prints.groupBy("key").agg(F.min(F.struct("doc_id", "hash", "words", "fp", "bands")).alias("least")).select("key", "least.*"), "distinct")
+    buckets = distinct.select(F.col("key").alias("a"), F.posexplode("bands").alias("band", "hash"))
     shared = buckets.groupBy("band", "hash").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     alike = buckets.join(shared, ["band", "hash"]).where("a != b").select("a", "b")
-    groups = simhash.near_duplicates(docs, id_col, text_col, shingle=shingle)
-    prints_alike = groups.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    same = scratch.keep(same, "same")
-    coarse = connected_components(scratch.keep(alike.union(prints_alike).union(same).distinct(), "candidates"), scratch)
-    # one document of each set, with its component's size
-    members = scratch.keep(distinct.select(F.col("doc_id").alias("node"), "words").join(coarse, "node"), "members")
+    by_print = scratch.keep(distinct.groupBy("fp").agg(F.min("key").alias("node")), "prints")
+    same_print = distinct.join(by_print, "fp").where("key != node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    near_print = simhash.links(by_print.select("node", "fp"), scratch)
+    coarse = connected_components(scratch.keep(alike.union(same_print).union(near_print).distinct(), "candidates"), scratch)
+    # one row of each set, with its component's size
+    members = scratch.keep(distinct.select("key", "doc_id", "hash", "words").join(coarse.withColumnRenamed("node", "key"), "key"), "members")
     sizes = members.groupBy("component").agg(F.sum("words").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", F.ceil(F.greatest(F.lit(1), F.col("all")) / cell_words).alias("across"))
-    members = members.join(sizes, "component").select("node", "component", "across", F.pmod(F.xxhash64("node"), F.col("across")).alias("own"))
+    members = members.join(sizes, "component").select("key", "doc_id", "hash", "component", "across", F.pmod(F.xxhash64("key"), F.col("across")).alias("own"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda x: F.least(x, F.col("own")) * F.col("across") + F.greatest(x, F.col("own")))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where("node is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     # the members grow with the corpus: the same join at every size
-    placed = texts.join(members.hint("merge"), "node").select("node", "text", "component", F.explode(cells).alias("cell"))
+    placed = texts.join(members.hint("merge"), ["doc_id", "hash"]).select("key", "text", "component", F.explode(cells).alias("cell"))
 
     def compare(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
+        key = table.column("key").to_numpy()
         sets, offsets = shingle_sets(table.column("text").combine_chunks(), shingle)
         left, right = verified(sets, offsets, similarity)
-        return pa.table({"a": pa.array(node[left], pa.int64()), "b": pa.array(node[right], pa.int64())})
+        return pa.table({"a": pa.array(key[left], pa.int64()), "b": pa.array(key[right], pa.int64())})
 
     links = placed.groupBy("component", "cell").applyInArrow(compare, "a long, b long")
-    return scratch.finish(connected_components(scratch.keep(links.union(same), "links"), scratch))
+    groups = connected_components(scratch.keep(links, "links"), scratch)
+    roots = distinct.select("key", "doc_id", "hash").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component")
+    least = roots.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("least"))
+    roots = scratch.keep(roots.select("key", "root").join(least, "root").select("key", "least"), "roots")
+    out = prints.select("doc_id", "hash", "key").join(roots, "key")
+    return scratch.finish(out.select("doc_id", "hash", F.col("least.doc_id").alias("component"), (F.struct("doc_id", "hash") == F.col("least")).alias("first")))
