@@ -194,12 +194,26 @@ def test_near_copies(spark):
                 part = {k: to if v == gone else v for k, v in part.items()}
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     assert low > 5
-    got = {r.node: r.component for r in near_copies.near_copies(df, cell_words=1000).collect()}
-    assert {k: got.get(k, k) for k in part} == part
+    found = near_copies.near_copies(df, cell_words=1000).collect()
+    assert {r.doc_id: r.component for r in found} == part and {r.doc_id for r in found if r.first} == set(part.values())
     kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert sorted(k for k in kept if k is not None) == sorted(set(part.values())) and kept.count(None) == 1
 
 
+def test_near_dedup_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    words_of = lambda k: " ".join(f"t{k}w{n}" for n in range(80))
+    # an id with two texts, rows that are there twice (with another value, and wholly), a copy under another id, ids and texts that are null
+    data = [(1, words_of(1), "b"), (1, words_of(2), "a"), (2, words_of(3), "x"), (2, words_of(3), "y"), (3, words_of(4), "z"), (3, words_of(4), "z"), (4, words_of(1).upper(), "c"), (None, words_of(1), "n"), (None, words_of(1), "n"), (5, None, None), (6, "  ", "q")]
+    df = spark.createDataFrame(data, "doc_id long, text string, _go string").repartition(3)
+    for source in (df, df.repartition(7)):
+        got = corpus_pipeline.near_dedup(spark, source, "")
+        rows = Counter((r.doc_id, r.text) for r in got.collect())
+        assert got.columns == df.columns and rows == Counter({(1, words_of(1)): 1, (1, words_of(2)): 1, (2, words_of(3)): 1, (3, words_of(4)): 1, (None, words_of(1)): 2, (5, None): 1})
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
 def test_mixture_reaches_packing(spark, monkeypatch):
     import corpus_pipeline
 
