@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import compact_windows, near_copies, packing, pfair, site_quality
 from tidelog.llm.queries import MIX_POWER, table
-from tidelog.llm.scratch import Scratch
+from tidelog.llm.scratch import Scratch, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,19 +21,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (five words, 0.8); a row without an id is nobody's copy and stays."""
-    groups = near_copies.near_copies(docs)
-    # a group's first document stays; of rows with the same doc_id one stays
-    others = groups.where("node != component").select(F.col("node").alias("doc_id"))
-    kept = docs.dropDuplicates(["doc_id"]) if _repeated(docs) else docs
-    # the ids that go grow with the corpus: the same join at every size
-    kept = kept.where("doc_id is not null").join(others.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    return kept.union(docs.where("doc_id is null"))
-
-
-def _repeated(docs: DataFrame) -> bool:
-    row = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return row.n != row.d
+    """Keeps the first row of each group of near copies (five words, 0.8): the smallest doc_id, then the smallest hash of the text.
+
+    Rows with the same doc_id and text are one document: the row with the smallest hash over all columns stays.  A row
+    without an id is nobody's copy and stays.
+    """
+    id_, hash_, go_, row_ = unused(docs.columns, "id", "hash", "go", "row")
+    found = near_copies.near_copies(docs).groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"), F.bool_or("first").alias("first"))
+    # rows that go, and rows that are there more than once
+    marks = found.where("n > 1 or not first").select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), (~F.col("first")).alias(go_))
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), hash_: near_copies.text_hash("text")})
+    # the marks grow with the corpus: the same join at every size
+    marked = keyed.join(marks.hint("merge"), [id_, hash_], "left").where(f"{go_} is null or not {go_}")
+    kept = marked.where(f"{go_} is null").select(docs.columns)
+    if marks.where(f"not {go_}").isEmpty():
+        return kept
+    # of repeated rows the least, combined before they are shuffled
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    least = marked.where(f"not {go_}").groupBy(id_, hash_).agg(F.min(F.struct(F.xxhash64(*names).alias(row_), *names)).alias(row_))
+    return kept.union(least.select(f"{row_}.*").select(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
