@@ -1,29 +1,35 @@
-"""Passages that repeat across documents, found with compact windows.
+"""Passages that repeat across documents, word for word or nearly, found with compact windows.
 
 A text's tokens are its shingles of ``shingle`` lower-cased words.  Under one min-hash function, the Cartesian
 tree over the tokens' hashes has for each token the widest interval in which it is the smallest: all
 subsequences inside that interval and around the token share it as their signature.  Only nodes wide enough
-for a passage of ``min_words`` words matter, about 2n / width of n, and those are the minima of the sliding
-windows of that width.
-
-1. Every compact window (of each of ``hashes`` functions) yields two keys: its signature with the words before
-   it, and with the words after it, half a passage each.  Any passage shared word for word has such a key in
-   common in each function.  Keys are counted over all documents.
-2. Keys met at least twice make a bitmap of bounded size, which goes to all tasks.  A second pass over the
-   texts keeps the compact windows that hit it and states hashes of probes: runs of ``min_words - STRIDE + 1``
-   words every ``STRIDE`` words, counted from the window's centre, so that equal passages have equal probes and
-   each passage of ``min_words`` words holds one.  A probe also carries short hashes of the words around it.
-3. Probes are grouped by hash.  The first holder (smallest doc_id, then position) is named, and a probe of
-   another document is widened by the words that it shares with the first holder's.  Overlapping probes of all
-   functions are joined as intervals, across at most ``GAP`` differing words (whatever is joined so is at least
-   0.8 alike), and those of ``min_words`` words or more are passages.  A single probe that stays shorter is
-   regrouped with every choice of its surrounding words, so that a longer match with another holder counts.
-   Equal 64-bit hashes over all words are the verification.  No pairs are formed: a passage that many
-   documents share costs one row for each holder and probe.
-
-Nulls and edge cases: a null, empty or short text has no passages; a null doc_id cannot be reported and its
-row is left out of the passages (``remove_repeats`` keeps it unchanged); rows with the same doc_id count as one
-document; an empty table gives an empty result; other columns are ignored.
+for a passage of ``min_words`` words matter, and those are the minima of the sliding windows of that width: a
+compact window is a run of windows that keep their minimum.  So the tree needn't be built.
+
+1. Functions come in bands of two.  Where the compact windows of a band's functions overlap by a passage, both
+   signatures make a key.  Passages whose token sets are s alike share a
+   band's key with a probability near s * s, and one of BANDS keys at least with 1 - (1 - s * s) ** BANDS, for each
+   ``min_words`` words that they have; equal passages share all.  Keys are counted over all documents.
+2. Keys met at least twice make a Bloom filter of bounded size, which goes to all tasks.  A second pass over the
+   texts keeps the compact windows that hit it, and the words' hashes of the places where some did, in tiles of
+   ``TILE`` words.  A filter that is too full lets more windows pass and loses none: then the second pass writes all
+   windows, some two or three times the text, and the work stays in proportion to the corpus.
+3. Windows are grouped by key.  Each one is paired with its group's first (smallest doc_id), not with all others.
+   Pairs are gathered by tiles, which is the interval join: what the functions agree on says which tiles to compare, and
+   along which diagonals.
+4. Both tiles' words are compared along these diagonals, and along those near them where words were lost or added.  A span counts if at least ``similarity`` of its words agree,
+   in runs of three or more (maximal scoring segments over the agreeing and the other words).  Spans that meet
+   at the edges of tiles are joined, and those of ``min_words`` words or more are passages.
+
+A passage that a document shares with several earlier ones has a row for each of them that is first in some group;
+passages of one earlier document that follow each other are one span, in whatever order that document holds them.
+A passage that many documents share costs one row for each holder and key.  Near-duplicate pairs are missed if they share
+no key, or if in each group that they share the first document holds neither of their passages.
+
+Nulls and edge cases: a null, empty or short text has no passages; a very long text is one row, in a slice of its own;
+a null doc_id cannot be reported and its row is left out of the passages (``remove_repeats`` keeps it unchanged); rows
+with the same doc_id count as one document, whose rows are told apart by their texts' hash; equal rows count once; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,140 +41,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.scratch import Scratch
+from tidelog.llm.scratch import Scratch, unused
 from tidelog.llm.textops import coded_words, hash_words, mix, ngram_hashes, slices
 
 MIN_WORDS = 50
 SHINGLE = 5
-HASHES = 1
+BANDS = 4
+SIMILARITY = 0.8
+#: Fewest words of a run that agrees, and words by which spans of one pair of documents may lie apart.
+RUN = 3
 GAP = 2
-#: Words from a probe to the next, and bits of the short hash of each of the words around a probe.
-STRIDE = 8
-AROUND_BITS = 8
-#: Bits of the key bitmap: for each key, and at most.  A fuller bitmap lets more windows pass, and loses none.
+#: Words of a tile, and words that it holds of its neighbours.
+TILE = 512
+MARGIN = 64
+#: Diagonals on either side that are tried where words are lost or added, and the share that agrees from which none is.
+NEAR = 16
+ENOUGH = 0.98
+#: Bits of the filter: for each key, and at most.
 KEY_BITS = 16
 MAX_BITS = 1 << 27
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SALT = 0x5851F42D4C957F2D
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the (leftmost) minimum of each window."""
-    at, span = np.arange(len(values)), 1
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least value of each run of ``width`` values."""
+    out, span = values, 1
     while span < width:
         step = min(span, width - span)
-        left, right = at[: len(at) - step], at[step:]
-        at = np.where(values[right] < values[left], right, left)
+        out = np.minimum(out[: len(out) - step], out[step:])
         span += step
-    return at
-
-
-def cartesian_bounds(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest smaller value to the left (ties count as smaller) and to the right of each, -1 and len where none."""
-    left, right, stack = [-1] * len(values), [len(values)] * len(values), []
-    for k, value in enumerate(values.tolist()):
-        while stack and stack[-1][0] > value:
-            right[stack.pop()[1]] = k
-        if stack:
-            left[k] = stack[-1][1]
-        stack.append((value, k))
-    return np.array(left, np.int64), np.array(right, np.int64)
-
-
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, extended as needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 20)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                made = np.full(size, base, np.uint64)
-                made[0] = 1
-                setattr(cls, name, np.multiply.accumulate(made))
-        return cls.up[:n], cls.down[:n]
+    return out
 
 
 class Words:
-    """Hashed words of a batch of texts, with the hash of any run of them in constant time."""
+    """Hashed words of a batch of texts."""
 
     def __init__(self, texts: pa.Array):
         codes, self.offsets, distinct = coded_words(texts, lower=True)
         self.hashes = hash_words(distinct, 7)[codes] if len(distinct) else np.empty(0, np.uint64)
-        n = len(self.hashes)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.offsets))
-        self.end = self.offsets[1:][self.doc] if n else np.empty(0, np.int64)
-        up, self.down = Powers.to(n + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * up[:n], dtype=np.uint64)])
-
-    def runs(self, start: np.ndarray, width: int | np.ndarray) -> np.ndarray:
-        return mix((self.sums[start + width] - self.sums[start]) * self.down[start], 3)
 
-    def compact_windows(self, salt: int, min_words: int, shingle: int) -> tuple[np.ndarray, ...]:
-        """Signature, centre and first and last start of the passages of ``min_words`` words of each wide compact window."""
+    def compact_windows(self, band: int, min_words: int, shingle: int) -> tuple[np.ndarray, ...]:
+        """For each pair of compact windows of the band's functions that share a passage: key, first and last start of these passages, place of the first token."""
+        n = len(self.hashes)
+        width = min_words - shingle + 1
         empty = np.empty(0, np.int64)
-        if len(self.hashes) < min_words:
+        if n < min_words:
             return np.empty(0, np.uint64), empty, empty, empty
-        tokens = mix(ngram_hashes(self.hashes, shingle), 100 + salt)
-        starts = np.flatnonzero(self.doc[: len(self.doc) - min_words + 1] == self.doc[min_words - 1 :])
-        if not len(starts):
-            return np.empty(0, np.uint64), empty, empty, empty
-        width = min_words - shingle + 1
-        centres = np.unique(sliding_argmin(tokens, width)[starts])
-        # the wide nodes of a text's tree are bounded by wide nodes: the tree over them alone has the same intervals
-        doc = self.doc[centres]
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        low, high = np.empty(len(centres), np.int64), np.empty(len(centres), np.int64)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(centres)], strict=True):
-            left, right = cartesian_bounds(tokens[centres[a:b]])
-            begin, stop = self.offsets[doc[a]], self.offsets[doc[a] + 1] - shingle
-            low[a:b] = np.where(left >= 0, centres[a + np.maximum(left, 0)] + 1, begin)
-            high[a:b] = np.where(right < b - a, centres[a + np.minimum(right, b - a - 1)] - 1, stop)
-        return tokens[centres], centres, np.maximum(low, centres - width + 1), np.minimum(centres, high - width + 1)
-
-    def keys(self, signature: np.ndarray, centre: np.ndarray, min_words: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the half passages that end and that begin with the centre's shingle; zero where the text is too short."""
-        half = (min_words + shingle) // 2
-        begin = centre + shingle - half
-        before = np.where(begin >= self.offsets[self.doc[centre]], mix(signature ^ self.runs(np.maximum(begin, 0), half), 11), 0)
-        fits = centre + half <= self.end[centre]
-        after = np.where(fits, mix(signature ^ self.runs(np.where(fits, centre, 0), half), 12), 0)
-        return before, after
-
-
-def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(3)) & np.uint64(bits - 1)
-
-
-def repeated_keys(docs: DataFrame, min_words: int, shingle: int, hashes: int) -> DataFrame:
-    """The keys (long) that at least two compact windows have."""
+        # a value's low bits tell its place, so that the least value names its token
+        low = np.uint64((1 << (width - 1).bit_length()) - 1)
+        if not hasattr(self, "tokens"):
+            self.tokens = ngram_hashes(self.hashes, shingle)
+            self.inside = self.doc[: n - min_words + 1] == self.doc[min_words - 1 :]
+        place = np.arange(len(self.tokens), dtype=np.uint64) & low
+        one, two = (sliding_min((mix(self.tokens, 100 + 2 * band + k) & ~low) | place, width) for k in (0, 1))
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | ~self.inside[:-1]
+        # the windows that lie in one text
+        first = np.flatnonzero(new & self.inside)
+        stops = np.append(np.flatnonzero(new | ~self.inside), len(one))
+        last = stops[np.searchsorted(stops, first, side="right")] - 1
+        at = [first + ((v[first] - first.astype(np.uint64)) & low).astype(np.int64) for v in (one, two)]
+        key = mix(mix(one[first] & ~low, 11 + band) ^ mix(two[first] & ~low, 12), 13)
+        return key, first, last, at[0]
+
+
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(keys >> np.uint64(shift)) & np.uint64(bits - 1) for shift in (3, 33)]
+
+
+def repeated_keys(docs: DataFrame, min_words: int, shingle: int, bands: int) -> DataFrame:
+    """The keys (long) that at least two texts have, or one text in a slice of its own twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"))
-                for salt in range(hashes):
-                    signature, centre, *_ = words.compact_windows(salt, min_words, shingle)
-                    if len(centre):
-                        keys = np.concatenate(words.keys(signature, centre, min_words, shingle))
-                        yield pa.record_batch([pa.array(keys[keys != 0].view(np.int64))], names=["key"])
+                for band in range(bands):
+                    key, first, *_ = words.compact_windows(band, min_words, shingle)
+                    if len(key):
+                        # a text counts a key once
+                        own = np.unique(mix(key ^ mix(words.doc[first].astype(np.uint64), 1)), return_index=True)[1]
+                        yield pa.record_batch([pa.array(key[own].view(np.int64))], names=["key"])
 
     counted = docs.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     return counted.where("n > 1").select("key")
 
 
-def key_bitmap(keys: DataFrame, scratch: Scratch) -> np.ndarray:
-    """A bitmap over the keys; its size is bounded whatever their number."""
+def key_filter(keys: DataFrame, scratch: Scratch) -> np.ndarray:
+    """A Bloom filter of the keys; its size is bounded whatever their number."""
     keys = scratch.keep(keys, "keys")
     bits = 1 << 12
     total = keys.count()
     while bits < min(MAX_BITS, KEY_BITS * total):
         bits *= 2
-    place = F.shiftrightunsigned("key", 3).bitwiseAND(F.lit(bits - 1))
-    masks = keys.select((place / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast((shiftrightunsigned(key, 3) & {bits - 1}L) % 64 as int))").alias("mask"))
+    place = F.explode(F.array(*[F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(bits - 1)) for shift in (3, 33)]))
+    masks = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("mask"))
+    # MAX_BITS / 64 rows at most
     table = masks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     if table.num_rows:
@@ -176,68 +144,108 @@ def key_bitmap(keys: DataFrame, scratch: Scratch) -> np.ndarray:
     return out
 
 
-def _around(words: Words, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Short hashes of the STRIDE - 1 words before and after each probe, nearest first; zero past a text's edge."""
-    low, high = words.offsets[words.doc[start]], words.end[start]
-    before, after = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-    mask = np.uint64((1 << AROUND_BITS) - 1)
-    for k in range(STRIDE - 1):
-        for side, at, inside in ((before, start - 1 - k, start - 1 - k >= low), (after, start + width + k, start + width + k < high)):
-            short = (words.hashes[np.where(inside, at, 0)] & mask).astype(np.int64)
-            side |= np.where(inside, np.maximum(short, 1), 0) << (k * AROUND_BITS)
-    return before, after
-
-
-def probes(docs: DataFrame, shared, min_words: int, shingle: int, hashes: int) -> DataFrame:
-    """hash, doc_id, position, before, after of each probe in a compact window that hit the bitmap."""
-    width = min_words - STRIDE + 1
+def hits(docs: DataFrame, shared, min_words: int, shingle: int, bands: int) -> DataFrame:
+    """Rows of two kinds: compact windows that hit the filter (key and position), and tiles around them (start and words)."""
+    schema = "doc_id long, hash long, tile int, key long, position int, start int, words binary"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        bits = len(bitmap) * 64
+        table = shared.value
+        bits = len(table) * 64
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"))
-                starts = []
-                for salt in range(hashes):
-                    signature, centre, first, last = words.compact_windows(salt, min_words, shingle)
-                    hit = np.zeros(len(centre), bool)
-                    for keys in words.keys(signature, centre, min_words, shingle) if len(centre) else ():
-                        at = _bit(keys, bits)
-                        hit |= (keys != 0) & ((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
-                    centre, first, last = centre[hit], first[hit], last[hit] + STRIDE - 1
-                    first = first + (centre - first) % STRIDE
-                    count = np.maximum(0, (last - first) // STRIDE + 1)
-                    starts.append(np.repeat(first, count) + STRIDE * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)))
-                start = np.unique(np.concatenate(starts))
-                if len(start):
-                    doc = words.doc[start]
-                    before, after = _around(words, start, width)
-                    yield pa.record_batch(
-                        [pa.array(words.runs(start, width).view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array((start - words.offsets[doc]).astype(np.int32)), pa.array(before), pa.array(after)],
-                        names=["hash", "doc_id", "position", "before", "after"],
-                    )
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, position int, before long, after long")
-
-
-def _shared(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """How many of the nearest surrounding words agree."""
-    out, going = np.zeros(len(own), np.int64), np.ones(len(own), bool)
-    for k in range(STRIDE - 1):
-        a, b = ((x >> (k * AROUND_BITS)) & ((1 << AROUND_BITS) - 1) for x in (own, other))
-        going &= (a == b) & (a != 0)
-        out += going
+                found = []
+                for band in range(bands):
+                    own = words.compact_windows(band, min_words, shingle)
+                    hit = np.ones(len(own[0]), bool)
+                    for at in _places(own[0], bits):
+                        hit &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                    found.append([v[hit] for v in own])
+                key, first, last, place = (np.concatenate(v) for v in zip(*found, strict=True))
+                if not len(key):
+                    continue
+                doc = words.doc[place]
+                base, end = words.offsets[doc], words.offsets[doc + 1]
+                tile = (place - base) // TILE
+                ids, hashes = part.column("doc_id"), part.column("hash")
+                n = len(key)
+                yield pa.record_batch(
+                    [ids.take(pa.array(doc)), hashes.take(pa.array(doc)), pa.array(tile.astype(np.int32)), pa.array(key.view(np.int64)), pa.array((place - base).astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    names=names,
+                )
+                number = doc * ((int(tile.max()) + 1) or 1) + tile
+                order = np.argsort(number, kind="stable")
+                head = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
+                one = order[head]
+                begin = np.minimum.reduceat(first[order], head) - MARGIN
+                stop = np.maximum.reduceat(last[order], head) + min_words + MARGIN
+                begin = np.maximum(begin, np.maximum(base[one], base[one] + tile[one] * TILE - MARGIN))
+                stop = np.minimum(stop, np.minimum(end[one], base[one] + (tile[one] + 1) * TILE + MARGIN))
+                short = (words.hashes >> np.uint64(32)).astype("<u4")
+                n = len(one)
+                yield pa.record_batch(
+                    [ids.take(pa.array(doc[one])), hashes.take(pa.array(doc[one])), pa.array(tile[one].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array((begin - base[one]).astype(np.int32)), pa.array([short[a:b].tobytes() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary())],
+                    names=names,
+                )
+
+    return docs.where("doc_id is not null").select("doc_id", "hash", "text").mapInArrow(run, schema)
+
+
+def agreeing(own: np.ndarray, own_start: int, other: np.ndarray, other_start: int, diagonals: list[int]) -> np.ndarray:
+    """Which of the own words agree with the other's, in runs of RUN or more, along or near one of the diagonals (own place less other place)."""
+    out = np.zeros(len(own), bool)
+    reached = np.zeros(len(own), bool)
+
+    def mark(d: int) -> None:
+        low = max(own_start, other_start + d)
+        high = min(own_start + len(own), other_start + len(other) + d)
+        if high - low < RUN:
+            return
+        reached[low - own_start : high - own_start] = True
+        same = own[low - own_start : high - own_start] == other[low - d - other_start : high - d - other_start]
+        core = same[: len(same) - RUN + 1].copy()
+        for k in range(1, RUN):
+            core &= same[k : len(same) - RUN + 1 + k]
+        for k in range(RUN):
+            out[low - own_start + k : low - own_start + k + len(core)] |= core
+
+    for d in diagonals:
+        mark(d)
+    if out.sum() < ENOUGH * reached.sum():
+        for d in {d + k for d in diagonals for k in range(-NEAR, NEAR + 1)} - set(diagonals):
+            mark(d)
     return out
 
 
-def _joined(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by document and begin: where each joined interval's rows begin, and the intervals' ends."""
-    number = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)]))
-    lift = number * (int(end.max()) + GAP + 2)
+def spans(match: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Maximal segments that score above zero with 1 - similarity for a word that agrees and -similarity for another."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], match.astype(np.int8), [0]])))
+    # segments so far: begin, end, the score before them and with them, none contained in a better one
+    held: list[list] = []
+    total = 0.0
+    before = 0
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        low = total - (a - before) * similarity
+        total, before = low + (b - a) * (1 - similarity), b
+        segment = [a, b, low, total]
+        while True:
+            k = len(held) - 1
+            while k >= 0 and held[k][2] >= segment[2]:
+                k -= 1
+            if k < 0 or held[k][3] >= segment[3]:
+                held.append(segment)
+                break
+            segment = [held[k][0], segment[1], held[k][2], segment[3]]
+            del held[k:]
+    return [(s[0], s[1]) for s in held]
+
+
+def _joined(group: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by group and begin: where each joined interval's rows begin, and the intervals' ends."""
+    lift = group * (int(end.max()) + GAP + 2)
     reach = np.maximum.accumulate(end + lift)
-    new = np.concatenate([[True], begin[1:] + lift[1:] > reach[:-1] + GAP])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] + lift[1:] > reach[:-1] + GAP]))
     return first, np.concatenate([reach[first[1:] - 1], reach[-1:]]) - lift[first]
 
 
@@ -262,59 +270,51 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), first_doc_id: the spans of each document that an earlier one (by id) holds too."""
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, start_word, end_word (exclusive), first_doc_id, hash (of the text): the spans of each document that an earlier one (by id) holds too."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "compact-windows")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bitmap = spark.sparkContext.broadcast(key_bitmap(repeated_keys(docs, min_words, shingle, hashes), scratch))
-    found = scratch.keep(probes(docs, bitmap, min_words, shingle, hashes), "probes")
-    width = min_words - STRIDE + 1
-
-    def holders(rows: DataFrame, *keys: str) -> DataFrame:
-        """First holder of each key that two documents have; written, so that the joins with it can split a hot key's rows."""
-        first = F.min(F.struct("doc_id", "position", "before", "after"))
-        named = rows.groupBy(*keys).agg(first.alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id").drop("last")
-        return scratch.keep(named, "holders")
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_document(batches):
-            doc, position, hashed, before, after, first_doc, first_before, first_after = (table.column(c).to_numpy() for c in ("doc_id", "position", "hash", "before", "after", "first_doc", "first_before", "first_after"))
-            begin = position - _shared(before, first_before)
-            end = position + width + _shared(after, first_after)
-            head, stop = _joined(doc, begin, end)
-            # of a span of one probe that is too short, the probe goes on to be regrouped
-            short = stop - begin[head] < min_words
-            yield pa.record_batch(
-                [pa.array(doc[head]), pa.array(begin[head].astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(first_doc[head]), pa.array(short), pa.array(hashed[head]), pa.array(position[head]), pa.array(before[head]), pa.array(after[head])],
-                names=["doc_id", "start_word", "end_word", "first_doc_id", "short", "hash", "position", "before", "after"],
-            )
-
-    own = found.join(holders(found, "hash"), "hash").where("doc_id > first.doc_id")
-    own = own.select("hash", "doc_id", "position", "before", "after", F.col("first.doc_id").alias("first_doc"), F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after"))
-    sorted_own = own.repartition("doc_id").sortWithinPartitions("doc_id", "position", "hash")
-    joined = scratch.keep(sorted_own.mapInArrow(spans, "doc_id long, start_word int, end_word int, first_doc_id long, short boolean, hash long, position int, before long, after long"), "spans")
-
-    # every way to add STRIDE - 1 surrounding words to a short single probe, for all rows with its hash
-    need = STRIDE - 1
-    singles = found.join(scratch.keep(joined.where("short").select("hash").distinct(), "short"), "hash", "left_semi")
-    low = lambda side, count: F.expr(f"{side} & (shiftleft(1L, cast({count} * {AROUND_BITS} as int)) - 1)")
-    whole = lambda side, count: F.expr(f"{count} = 0 or shiftrightunsigned({side}, cast(({count} - 1) * {AROUND_BITS} as int)) & {(1 << AROUND_BITS) - 1} != 0")
-    grown = singles.select("*", F.explode(F.sequence(F.lit(0), F.lit(need))).alias("left")).withColumn("right", need - F.col("left"))
-    grown = grown.where(whole("before", "left") & whole("after", "right")).withColumn("b", low("before", "left")).withColumn("a", low("after", "right"))
-    longer = grown.join(holders(grown, "hash", "left", "b", "a"), ["hash", "left", "b", "a"]).where("doc_id > first.doc_id")
-    longer = longer.groupBy("doc_id", "position").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("first.doc_id").alias("first_doc_id"))
-    longer = longer.select("doc_id", (F.col("position") - F.col("left")).cast("int").alias("start_word"), (F.col("position") + width + F.col("right")).cast("int").alias("end_word"), "first_doc_id")
-    plain = joined.where("not short").select("doc_id", "start_word", "end_word", "first_doc_id")
+    text = F.col(f"`{text_col}`").cast("string")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    shared = spark.sparkContext.broadcast(key_filter(repeated_keys(docs, min_words, shingle, bands), scratch))
+    found = scratch.keep(hits(docs, shared, min_words, shingle, bands), "hits")
+    windows = found.where("key is not null").select("key", "doc_id", "hash", "position")
+    first = F.min(F.struct("doc_id", "hash", "position"))
+    # the first of each key that two documents have; written, so that the join with it can split a hot key's rows
+    holders = scratch.keep(windows.groupBy("key").agg(first.alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id").drop("last"), "holders")
+    tile = lambda c: F.shiftright(c, TILE.bit_length() - 1)
+    pairs = windows.join(holders, "key").where("doc_id > first.doc_id")
+    pairs = pairs.groupBy("doc_id", "hash", tile("position").alias("tile"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.hash").alias("first_hash"), tile("first.position").alias("first_tile"))
+    pairs = pairs.agg(F.collect_set(F.col("position") - F.col("first.position")).alias("diagonals"))
+    # equal rows have equal tiles
+    tiles = found.where("words is not null").groupBy("doc_id", "hash", "tile").agg(F.any_value("start").alias("start"), F.any_value("words").alias("words"))
+    first_tiles = tiles.toDF("first_doc_id", "first_hash", "first_tile", "first_start", "first_words")
+    both = pairs.join(tiles, ["doc_id", "hash", "tile"]).join(first_tiles, ["first_doc_id", "first_hash", "first_tile"])
+    both = both.select("doc_id", "hash", "first_doc_id", "start", "words", "first_start", "first_words", "diagonals")
+    schema = "doc_id long, hash long, first_doc_id long, start_word int, end_word int"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, begins, ends = [], [], []
+            starts, first_starts = np.asarray(batch.column("start")), np.asarray(batch.column("first_start"))
+            for k, (own, other, diagonals) in enumerate(zip(batch.column("words"), batch.column("first_words"), batch.column("diagonals"), strict=True)):
+                start = int(starts[k])
+                match = agreeing(np.frombuffer(own.as_buffer(), "<u4"), start, np.frombuffer(other.as_buffer(), "<u4"), int(first_starts[k]), diagonals.as_py())
+                for a, b in spans(match, similarity):
+                    rows.append(k), begins.append(a + start), ends.append(b + start)
+            at = pa.array(rows, pa.int32())
+            yield pa.record_batch([*(batch.column(c).take(at) for c in ("doc_id", "hash", "first_doc_id")), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "hash", "first_doc_id", "start_word", "end_word"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_document(batches):
-            doc, begin, end, first_doc = (table.column(c).to_numpy() for c in ("doc_id", "start_word", "end_word", "first_doc_id"))
-            head, stop = _joined(doc, begin, end)
-            yield pa.record_batch([pa.array(doc[head]), pa.array(begin[head]), pa.array(stop.astype(np.int32)), pa.array(first_doc[head])], names=["doc_id", "start_word", "end_word", "first_doc_id"])
+            doc, hashed, first_doc, begin, end = (table.column(c).to_numpy() for c in ("doc_id", "hash", "first_doc_id", "start_word", "end_word"))
+            change = (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1]) | (first_doc[1:] != first_doc[:-1])
+            head, stop = _joined(np.concatenate([[0], np.cumsum(change)]), begin.astype(np.int64), end.astype(np.int64))
+            head, stop = head[stop - begin[head] >= min_words], stop[stop - begin[head] >= min_words]
+            yield pa.record_batch([pa.array(doc[head]), pa.array(begin[head]), pa.array(stop.astype(np.int32)), pa.array(first_doc[head]), pa.array(hashed[head])], names=["doc_id", "start_word", "end_word", "first_doc_id", "hash"])
 
-    both = plain.union(longer).repartition("doc_id").sortWithinPartitions("doc_id", "start_word", "end_word", "first_doc_id")
-    return scratch.finish(both.mapInArrow(merge, "doc_id long, start_word int, end_word int, first_doc_id long"))
+    compared = both.mapInArrow(compare, schema).repartition("doc_id").sortWithinPartitions("doc_id", "hash", "first_doc_id", "start_word", "end_word")
+    return scratch.finish(compared.mapInArrow(merge, "doc_id long, start_word int, end_word int, first_doc_id long, hash long"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -323,29 +323,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The white space between the words that stay is kept as it was, except that a passage goes with the white
     space after it.  Other columns stay as they are.
     """
-    spans = repeated_passages(docs, id_col, text_col, **options)
-    # a document's spans do not overlap, so there are at most words / min_words of them
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans")).withColumnRenamed("doc_id", "_span_doc")
-    marked = docs.join(lists, F.col(id_col).cast("long") == F.col("_span_doc"), "left").drop("_span_doc")
+    spans_, id_, hash_ = unused(docs.columns, "spans", "span_id", "span_hash")
+    found = repeated_passages(docs, id_col, text_col, **options).select("doc_id", "hash", "start_word", "end_word").distinct()
+    # a span for each passage of a document and each earlier holder that is first in a group
+    lists = found.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(spans_)).toDF(id_, hash_, spans_)
+    marked = docs.withColumn(hash_, F.xxhash64(F.col(f"`{text_col}`").cast("string"))).withColumn(id_, F.col(f"`{id_col}`").cast("long"))
+    marked = marked.join(lists, [id_, hash_], "left").select(*[f"`{n}`" for n in docs.columns], spans_)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         words = re.compile(rb"[^\x20\x09-\x0d]+")
         for batch in batches:
-            column, names = batch.column("_spans"), [n for n in batch.schema.names if n != "_spans"]
-            texts, keep = batch.column(text_col).to_pylist(), np.ones(batch.num_rows, bool)
-            for k in np.flatnonzero(np.asarray(column.is_valid())):
-                raw = (texts[k] or "").encode("utf-8", "surrogatepass")
-                at = [m.start() for m in words.finditer(raw)] + [len(raw)]
-                rest, done = [], 0
-                for span in column[int(k)].as_py():
-                    rest.append(raw[at[done] if done else 0 : at[span["start_word"]]])
-                    done = span["end_word"]
-                rest.append(raw[at[done] :])
-                texts[k] = b"".join(rest).decode("utf-8", "surrogatepass")
-                keep[k] = bool(texts[k].strip(" \t\n\v\f\r"))
-            arrays = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
+            for part in slices(batch, text_col):
+                column = part.column(spans_)
+                texts, keep = part.column(text_col).to_pylist(), np.ones(part.num_rows, bool)
+                for k in np.flatnonzero(np.asarray(column.is_valid())):
+                    raw = (texts[k] or "").encode("utf-8", "surrogatepass")
+                    at = [m.start() for m in words.finditer(raw)] + [len(raw)]
+                    rest, done = [], 0
+                    for span in column[int(k)].as_py():
+                        # spans of different holders may overlap
+                        if span["start_word"] > done or not done:
+                            rest.append(raw[at[done] if done else 0 : at[span["start_word"]]])
+                        done = max(done, span["end_word"])
+                    rest.append(raw[at[done] :])
+                    texts[k] = b"".join(rest).decode("utf-8", "surrogatepass")
+                    keep[k] = bool(texts[k].strip(" \t\n\v\f\r"))
+                arrays = [pa.array(texts, pa.string()) if n == text_col else part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
 
     return marked.mapInArrow(run, docs.schema)
