@@ -141,11 +141,95 @@ def test_languages(docs):
 def test_passages(spark):
     unique = lambda k, n: " ".join(f"u{k}x{j}" for j in range(n))
     passage = unique("shared", 70)
-    data = [(1, f"{unique(1, 40)} {passage} {unique(2, 40)}"), (2, f"{unique(3, 30)} {passage} {unique(4, 10)}"), (3, unique(5, 120)), (4, None), (5, "")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    cleaned = {r.doc_id: r.text for r in compact_windows.remove_repeats(df).collect()}
-    assert cleaned[1] == data[0][1] and cleaned[3] == data[2][1] and not cleaned[4] and not cleaned[5]
-    assert "usharedx35" not in cleaned[2] and "u3x0" in cleaned[2] and "u4x9" in cleaned[2]
+    data = [(1, f"{unique(1, 40)} {passage} {unique(2, 40)}"), (2, f"{unique(3, 30)} {passage} {unique(4, 10)}"), (3, unique(5, 120)), (4, None), (5, ""), (None, f"{unique(6, 9)} {passage}"), (2, f"{unique(7, 9)} other row"), (6, passage.upper())]
+    df = spark.createDataFrame([(*r, "x", [1]) for r in data], "doc_id long, text string, _spans string, _span_id array<int>")
+    spans = compact_windows.repeated_passages(df).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in spans) == [(2, 30, 100, 1), (6, 0, 70, 1)]
+    cleaned = compact_windows.remove_repeats(df)
+    assert cleaned.columns == df.columns
+    kept = Counter((r.doc_id, r.text) for r in cleaned.collect())
+    # a document that is all a repeat goes with its row; the others stay as they were
+    assert kept == Counter([*(r for k, r in enumerate(data) if k not in (1, 7)), (2, f"{unique(3, 30)} {unique(4, 10)}")])
+
+
+def test_passage_of_two_documents(spark):
+    unique = lambda k, n: " ".join(f"u{k}x{j}" for j in range(n))
+    data = [(1, unique(1, 200)), (2, unique(2, 200)), (3, f"{unique(3, 20)} {' '.join(unique(1, 200).split()[50:110])} {' '.join(unique(2, 200).split()[90:150])} {unique(4, 20)}")]
+    got = compact_windows.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in got) == [(3, 20, 80, 1), (3, 80, 140, 2)]
+
+
+def test_near_passages(spark):
+    import random
+
+    pick = random.Random(7)
+    fresh = lambda n: [f"w{pick.randrange(3000)}" for _ in range(n)]
+    data, planted = [], {}
+    for k in range(160):
+        # a passage of 60 to 200 words, every 10th to 25th word changed, some lost, some added
+        passage, every = fresh(pick.randrange(60, 200) if k % 4 else 200), pick.randrange(10, 26)
+        copy = []
+        for n, w in enumerate(passage):
+            if n % every != every // 2:
+                copy.append(w)
+            elif k % 5 == 0:
+                copy += [w, "added"]
+            elif k % 5 > 1:
+                copy.append("changed")
+        front = fresh(pick.randrange(0, 900))
+        data += [(2 * k, " ".join(fresh(30) + passage + fresh(30))), (2 * k + 1, " ".join(front + copy + fresh(40)))]
+        planted[2 * k + 1] = (len(front), len(front) + len(copy), len(passage))
+    got = compact_windows.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    caught = {r.doc_id for r in got if r.doc_id in planted and r.first_doc_id == r.doc_id - 1 and min(r.end_word, planted[r.doc_id][1]) - max(r.start_word, planted[r.doc_id][0]) >= 0.7 * (planted[r.doc_id][1] - planted[r.doc_id][0])}
+    long = {k for k, p in planted.items() if p[2] >= 150}
+    # nothing else is named
+    assert all(r.doc_id in planted and r.first_doc_id == r.doc_id - 1 and r.start_word >= planted[r.doc_id][0] - 12 and r.end_word <= planted[r.doc_id][1] + 12 for r in got)
+    assert len(caught & long) >= 0.95 * len(long) and len(caught) >= 0.9 * len(planted), (len(caught), len(planted), len(caught & long), len(long))
+
+
+def common_words(a, b):
+    """Words of a in runs of three that b holds."""
+    held, out = set(zip(b, b[1:], b[2:], strict=False)), set()
+    for n, run in enumerate(zip(a, a[1:], a[2:], strict=False)):
+        if run in held:
+            out |= {n, n + 1, n + 2}
+    return len(out)
+
+
+def test_passages_against_brute_force(spark, monkeypatch):
+    import random
+
+    pick = random.Random(11)
+    monkeypatch.setattr(compact_windows, "TILE", 64)
+    size = 14
+    stock = [[f"p{n}x{j}" for j in range(pick.randrange(14, 60))] for n in range(12)]
+    data = []
+    for k in range(150):
+        text = []
+        for _ in range(pick.randrange(0, 5)):
+            part = pick.choice(stock)
+            a = pick.randrange(0, len(part) - 13)
+            text += part[a : a + pick.randrange(5, 60)] + [f"f{pick.randrange(4000)}" for _ in range(pick.randrange(0, 40))]
+        data.append((k, " ".join(text)))
+    got = compact_windows.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(4), min_words=size, shingle=3).collect()
+    texts = {k: t.split() for k, t in data}
+    covered = {k: set() for k in texts}
+    for r in got:
+        assert r.first_doc_id < r.doc_id and r.end_word - r.start_word >= size
+        own = texts[r.doc_id][r.start_word : r.end_word]
+        assert common_words(own, texts[r.first_doc_id]) >= 0.8 * len(own)
+        covered[r.doc_id] |= set(range(r.start_word, r.end_word))
+    missed = total = 0
+    held: dict[tuple, int] = {}
+    for k, words_ in texts.items():
+        runs = [tuple(words_[n : n + size]) for n in range(len(words_) - size + 1)]
+        for n, run in enumerate(runs):
+            if held.get(run, k) < k:
+                total += 1
+                missed += not set(range(n, n + size)) <= covered[k]
+        for run in runs:
+            held.setdefault(run, k)
+    assert total > 500 and missed <= 0.005 * total, (missed, total)
 
 
 def test_mix_and_sites(docs, labels):
