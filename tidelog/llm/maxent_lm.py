@@ -1,22 +1,28 @@
-"""Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
+"""Language-model scores by a hashed maximum-entropy model with a class-factored softmax over the whole vocabulary.
 
-Tokens are lower-cased words and an end mark for each text.  Documents are tokenised once into blocks of a few
-megabytes of text, each with its own word list, and kept in the shared folder.
+Tokens are lower-cased words and an end mark for each text.
 
+* Blocks: documents are dealt by a hash of their id and text, sorted by it, and cut into blocks of a few megabytes, each
+  with its own word list.  So the blocks, and with them all scores, are the same however the input is partitioned.
 * Counts: blocks send their words, in buckets of the words' hashes, to be summed over all training documents;
   the totals go back to the blocks in the same buckets.  A word crosses the cluster once for each block.
-* Model: the most frequent words form classes of equal size, all other words the tail class.
-  P(word | history) = P(class | history) * P(word | class, history).  Both factors are softmaxes over hashed
-  features of the history: the previous word, the previous two, and the second-last alone (a skip).  In the
-  tail, a word has its add-one share.  The vocabulary's frequent part and the feature tables are of bounded size.
-* Training: every block of training documents is used once.  In each of several rounds, tasks start from the
-  shared weights, make Adagrad minibatch updates over their blocks, and the weighted mean of their changes is
-  added up in parts by Spark and applied.
-* Scoring: blocks meet their totals again, and numpy batches gather the sparse features' rows.
-
-Nulls and edge cases: a null or empty text is its end mark alone; a null id is held out; without training
-documents every word has probability one, as the base formula says; equal rows get equal scores; an empty table
-gives an empty result; other columns are ignored.
+* Outcomes: every word that training documents hold, and one more that stands for all others.  The root's
+  classes are HEAD classes of WIDTH frequent words each, BANDS bands of the other words by their count, and the unknown word.
+  A band's words are told apart by ten bits of their hash, in two steps of WIDTH cells; in a cell a word has its add-one
+  share.  P(word | history) is the product along this path.  Each step is a softmax over WIDTH outcomes with hashed
+  features of the history: the previous word, the previous two, and the second-last alone (a skip); the last step
+  has the previous word only.  Without features the model is the add-one unigram itself, so probabilities
+  sum to one over the vocabulary and the unknown word.
+* Training: ``epochs`` passes over all blocks, each in ``rounds`` parts.  In a round every block of the part starts from the
+  shared weights and makes Adagrad minibatch updates.  A row of weights moves by the mean of the blocks' changes, weighted by
+  what each block learned about it, and the squared gradients are added up and kept for the next rounds.
+* Scoring: numpy batches gather the sparse features' rows.
+
+The feature tables' sizes are parameters; they and the head's words are what is broadcast.  The counts grow with the input.
+
+Nulls and edge cases: a null or empty text is its end mark alone; a very long text is a block of its own; a null id is held
+out; without training documents every word has probability one, as the base formula says; equal rows get equal scores; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,21 +33,27 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.scratch import Scratch
-from tidelog.llm.textops import coded_words, hash_words, mix, segment_sums, slices
+from tidelog.llm.textops import coded_words, hash_words, mix, segment_sums
 
-BLOCK_BYTES = 4 << 20
-#: Words of all blocks that one task sums.
+BLOCK_BYTES = 8 << 20
+#: Text that one task cuts into blocks, and words of all blocks that one task sums.
+DEALT_BYTES = 32 << 20
 BUCKET_WORDS = 1_000_000
-CLASSES, CLASS_WORDS = 16, 32
-CLASS_FEATURES, WORD_FEATURES = 1 << 13, 1 << 14
-ROUNDS, BATCH, RATE = 4, 8192, 0.2
-PART_BYTES, SPREAD = 1 << 18, 16
+WIDTH, HEAD, BANDS = 32, 16, 15
+UNKNOWN = HEAD + BANDS
+#: The root is node 0; then the classes, the bands, and a node for each first cell of a band.
+NODES = 1 + HEAD + BANDS + BANDS * WIDTH
+ROOT_FEATURES, NODE_FEATURES = 1 << 13, 1 << 14
+EPOCHS, ROUNDS, BATCH, RATE = 2, 3, 8192, 0.15
+PART_ROWS, SPREAD = 1 << 12, 64
 #: No word holds a line feed.
 END = "\n"
+_ONES = np.ones(WIDTH, np.float32)
 
 
 @contextmanager
@@ -56,35 +68,72 @@ def _rows_per_batch(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def _tokens(part: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Codes, sizes, words (in the order of their hashes) and these hashes of a block's texts."""
+    codes, offsets, words = coded_words(part.column("text").combine_chunks(), lower=True)
+    words.append(END)
+    hashes = hash_words(words, 3)
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    sizes = np.diff(offsets) + 1
+    out = np.empty(int(sizes.sum()), np.int32)
+    ends = np.zeros(len(out), bool)
+    ends[np.cumsum(sizes) - 1] = True
+    out[ends], out[~ends] = place[-1], place[codes]
+    return out, sizes, pa.array(words, pa.string()).take(pa.array(order)), hashes[order]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str, count: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data, count * np.dtype(kind).itemsize, asbytes=True), kind)
+
+
 def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     """Tokenised documents: ids, whether held out, sizes and codes; the block's words by hash with their training counts."""
     schema = "block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, words array<string>, counts array<int>"
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def made(shard: int, number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(parts)
+        codes, sizes, words, _ = _tokens(part)
+        held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        columns = [
+            pa.array([(shard << 24) + number]), one(part.column("id").combine_chunks()), one(pa.array(held)), one(pa.array(sizes.astype(np.int32))),
+            pa.array([_packed(codes.astype("<i4"))], pa.binary()), one(words), one(pa.array(counts.astype(np.int32))),
+        ]
+        return pa.record_batch([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
+        current, number, held, size = None, 0, [], 0
         for batch in batches:
-            for part in slices(batch, limit=BLOCK_BYTES):
-                codes, offsets, words = coded_words(part.column("text"), lower=True)
-                words.append(END)
-                order = np.argsort(hash_words(words, 3), kind="stable")
-                place = np.empty(len(words), np.int64)
-                place[order] = np.arange(len(words))
-                sizes = np.diff(offsets) + 1
-                out = np.empty(int(sizes.sum()), np.int32)
-                ends = np.zeros(len(out), bool)
-                ends[np.cumsum(sizes) - 1] = True
-                out[ends], out[~ends] = place[-1], place[codes]
-                held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
-                counts = np.bincount(out[np.repeat(~held, sizes)], minlength=len(words))
-                # only lists of one row each: the block
-                row = {"block": [number], "ids": [part.column("id").to_pylist()], "held": [held.tolist()], "sizes": [sizes.tolist()], "codes": [out.astype("<i4").tobytes()], "words": [[words[k] for k in order]], "counts": [counts.tolist()]}
-                yield pa.record_batch([pa.array(row[k], t) for k, t in (("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())))], names=list(row))
-                number += 1
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(True)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+            shard = np.asarray(batch.column("shard"))
+            bytes_ = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64)
+            begin = 0
+            for k in range(batch.num_rows):
+                if shard[k] != current or size + bytes_[k] > BLOCK_BYTES and size:
+                    held += [batch.slice(begin, k - begin)] if k > begin else []
+                    if held:
+                        yield made(int(current), number, held)
+                    number = number + 1 if shard[k] == current else 0
+                    current, held, size, begin = shard[k], [], 0, k
+                size += bytes_[k]
+            held.append(batch.slice(begin))
+        if held:
+            yield made(int(current), number, held)
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(True)).alias("held"), text.alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(size / DEALT_BYTES))
+    rows = rows.withColumn("hash", F.xxhash64("id", "text")).withColumn("shard", F.pmod("hash", F.lit(shards)).cast("long"))
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "hash").drop("hash").mapInArrow(run, schema)
 
 
 def _scattered(made: DataFrame, buckets: int) -> DataFrame:
@@ -105,10 +154,21 @@ def _scattered(made: DataFrame, buckets: int) -> DataFrame:
     return made.select("block", "words", "counts").mapInArrow(run, "bucket int, block long, words array<string>, counts array<int>")
 
 
+def bands(totals: np.ndarray) -> np.ndarray:
+    """The band of a word that training documents hold so often: powers of four."""
+    return np.minimum(BANDS - 1, np.log2(np.maximum(1, totals)) // 2).astype(np.int64)
+
+
+def cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both steps' cells of a word, from bits that its bucket doesn't depend on."""
+    low = hashes.astype(np.uint64)
+    return (low & np.uint64(WIDTH - 1)).astype(np.int64), (low >> np.uint64(5) & np.uint64(WIDTH - 1)).astype(np.int64)
+
+
 def totals(made: DataFrame, top: int) -> DataFrame:
-    """For each bucket: a row for each block with its words' totals, and one (block null) with the bucket's most frequent words, tokens and distinct words."""
+    """For each bucket: a row for each block with its words' totals, and one (block null) with the bucket's most frequent words, its add-one masses by band and cells, tokens and distinct words."""
     size = made.agg(F.sum(F.size("words"))).first()[0] or 0
-    schema = "block long, bucket int, words array<string>, counts array<long>, tokens long, distinct long"
+    schema = "block long, bucket int, words array<string>, counts array<long>, masses array<long>, tokens long, distinct long"
 
     def add(table: pa.Table) -> pa.Table:
         words = table.column("words").combine_chunks()
@@ -120,205 +180,260 @@ def totals(made: DataFrame, top: int) -> DataFrame:
         names = np.array(coded.dictionary.to_pylist(), dtype=object)
         best = np.lexsort((names, -total))[:top] if len(names) else np.empty(0, np.int64)
         best = best[total[best] > 0]
+        known = total > 0
+        one, two = cells(hash_words(names[known].tolist(), 3))
+        masses = np.bincount((bands(total[known]) * WIDTH + one) * WIDTH + two, weights=total[known] + 1, minlength=BANDS * WIDTH * WIDTH).astype(np.int64)
         n = table.num_rows
         bucket = table.column("bucket")[0].as_py()
         lists = pa.ListArray.from_arrays(pa.array(np.append(offsets, offsets[-1] + len(best)).astype(np.int32)), pa.array(np.concatenate([total[codes], total[best]])))
         return pa.table({
             "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()), "bucket": pa.array([bucket] * (n + 1), pa.int32()),
-            "words": pa.array([None] * n + [names[best].tolist()], pa.list_(pa.string())), "counts": lists,
-            "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()), "distinct": pa.array([None] * n + [int((total > 0).sum())], pa.int64()),
+            "words": pa.array([None] * n + [names[best].tolist()], pa.list_(pa.string())), "counts": lists, "masses": pa.array([None] * n + [masses.tolist()], pa.list_(pa.int64())),
+            "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()), "distinct": pa.array([None] * n + [int(known.sum())], pa.int64()),
         })
 
     return _scattered(made, max(1, math.ceil(size / BUCKET_WORDS))).groupBy("bucket").applyInArrow(add, schema)
 
 
 class Model:
-    """Weights, as views of one flat vector, and the frequent words' places."""
-
-    def __init__(self, words: list[str], counts: list[int], tokens: int, distinct: int, classes: int = CLASSES, class_words: int = CLASS_WORDS):
-        self.places = {w: k for k, w in enumerate(words[: classes * class_words])}
-        frequent = np.array(counts[: classes * class_words], np.float64)
-        self.tail_norm = tokens - int(frequent.sum()) + distinct - len(frequent) + 1
-        self.tokens, self.distinct, self.classes, self.class_words = tokens, distinct, classes, class_words
-        mass = np.zeros(classes * class_words)
-        mass[: len(frequent)] = frequent
-        mass = mass.reshape(classes, class_words)
-        with np.errstate(divide="ignore"):
-            class_bias = np.log(np.append(mass.sum(axis=1), self.tail_norm) / max(1.0, frequent.sum() + self.tail_norm))
-            word_bias = np.log(mass / np.maximum(1, mass.sum(axis=1, keepdims=True)))
-        self.shapes = [(CLASS_FEATURES, classes + 1), (WORD_FEATURES, class_words), (classes + 1,), (classes, class_words)]
-        self.set(np.concatenate([np.zeros(CLASS_FEATURES * (classes + 1) + WORD_FEATURES * class_words), np.maximum(class_bias, -1e9), np.maximum(word_bias, -1e9).ravel()]).astype(np.float32))
-
-    def set(self, flat: np.ndarray) -> None:
-        self.flat, views, at = flat, [], 0
-        for shape in self.shapes:
-            views.append(flat[at : at + math.prod(shape)].reshape(shape))
-            at += math.prod(shape)
-        self.class_rows, self.word_rows, self.class_bias, self.word_bias = views
-
-    def block(self, row: dict) -> tuple[np.ndarray, ...]:
-        """Token places (-1: tail) and history features of a block's tokens."""
-        words, sizes = row["words"], row["sizes"]
-        codes = np.frombuffer(row["codes"], "<i4")
-        place = np.fromiter((self.places.get(w, -1) for w in words), np.int64, len(words))
-        hashes = mix(hash_words(words, 3), 1)
-        own = hashes[codes]
+    """Weights and biases, and the frequent words' hashes and places."""
+
+    def __init__(self, words: list[str], counts: list[int], masses: np.ndarray, tokens: int, distinct: int):
+        self.tokens, self.distinct = tokens, distinct
+        hashes, counts = hash_words(words, 3), np.array(counts, np.int64)
+        order = np.argsort(hashes)
+        self.head_hashes, self.head_places = hashes[order], order
+        masses = masses.reshape(BANDS, WIDTH, WIDTH).astype(np.float64)
+        if len(words):
+            np.subtract.at(masses, (bands(counts), *cells(hashes)), counts + 1)
+        self.masses = masses
+        head = np.zeros(HEAD * WIDTH)
+        head[: len(counts)] = counts + 1
+        head = head.reshape(HEAD, WIDTH)
+        levels = np.zeros((NODES, WIDTH))
+        levels[0] = [*head.sum(axis=1), *masses.sum(axis=(1, 2)), 1.0]
+        levels[1 : 1 + HEAD] = head
+        levels[1 + HEAD : 1 + HEAD + BANDS] = masses.sum(axis=2)
+        levels[1 + HEAD + BANDS :] = masses.reshape(-1, WIDTH)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.bias = np.maximum(np.log(levels / np.maximum(1e-300, levels.sum(axis=1, keepdims=True))), -1e4).astype(np.float32)
+        self.root, self.node = np.zeros((ROOT_FEATURES, WIDTH), np.float32), np.zeros((NODE_FEATURES, WIDTH), np.float32)
+        self.root_seen, self.node_seen = np.ones(ROOT_FEATURES, np.float32), np.ones(NODE_FEATURES, np.float32)
+
+    def outcomes(self, hashes: np.ndarray, totals_of: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each word: child of the root, node and child of the second and the third step (-1: none), and the log of its share in its cell."""
+        at = np.minimum(np.searchsorted(self.head_hashes, hashes), max(0, len(self.head_hashes) - 1))
+        frequent = self.head_hashes[at] == hashes if len(self.head_hashes) else np.zeros(len(hashes), bool)
+        place = self.head_places[at] if len(self.head_hashes) else np.zeros(len(hashes), np.int64)
+        band, (one, two) = bands(totals_of), cells(hashes)
+        known = totals_of > 0
+        root = np.where(frequent, place // WIDTH, np.where(known, HEAD + band, UNKNOWN))
+        node, child = np.where(frequent, 1 + place // WIDTH, np.where(known, 1 + HEAD + band, -1)), np.where(frequent, place % WIDTH, one)
+        rare = known & ~frequent
+        last, cell = np.where(rare, 1 + HEAD + BANDS + band * WIDTH + one, -1), two
+        share = np.zeros(len(hashes))
+        share[rare] = np.log((totals_of[rare] + 1) / self.masses[band[rare], one[rare], two[rare]])
+        return root, node, child, last, cell, share
+
+    def steps(self, row: dict) -> tuple[np.ndarray, list]:
+        """Of a block's tokens: codes, and for each step the tokens that take it, their nodes, children and features."""
+        n = len(row["totals"])
+        hashes = np.frombuffer(row["hashes"], "<u8")
+        sizes = np.asarray(row["sizes"], np.int64)
+        codes = _unpacked(row["codes"], "<i4", int(sizes.sum())).astype(np.int64)
+        root, node, child, last, cell, share = self.outcomes(hashes, np.asarray(row["totals"], np.int64))
+        own = mix(hashes, 1)[codes]
         first = np.cumsum(sizes) - sizes
         end = mix(hash_words([END], 3), 1)[0]
         back1 = np.concatenate([[end], own[:-1]]) if len(own) else own
         back1[first] = end
         back2 = np.concatenate([[end], back1[:-1]]) if len(own) else own
         back2[first] = end
-        features = np.stack([mix(back1, 2), mix(back1 ^ mix(back2, 3), 4), mix(back2, 5)], axis=1)
-        return codes, place[codes], features
-
-    def class_features(self, features: np.ndarray) -> np.ndarray:
-        return (features & np.uint64(CLASS_FEATURES - 1)).astype(np.int64)
-
-    def word_features(self, features: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        return (mix(features ^ (kind.astype(np.uint64)[:, None] << np.uint64(20)), 6) & np.uint64(WORD_FEATURES - 1)).astype(np.int64)
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
-
-
-def _gathered(rows: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    out = rows[at[:, 0]] + bias
-    out += rows[at[:, 1]]
-    out += rows[at[:, 2]]
-    return out
-
-
-def _update(rows: np.ndarray, seen: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
-    """Adagrad on the rows that a minibatch touches, one step size for a row."""
-    flat = at.ravel()
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    summed = np.add.reduceat(gradient[order // at.shape[1]], first, axis=0)
-    touched = ranked[first]
-    seen[touched] += (summed**2).mean(axis=1)
-    rows[touched] -= RATE * summed / np.sqrt(seen[touched])[:, None]
-
-
-def train_blocks(model: Model, rows: Iterator[dict]) -> int:
-    """Updates the model in place over the blocks' training documents; returns their tokens."""
-    seen_class, seen_word = np.full(CLASS_FEATURES, 1.0, np.float32), np.full(WORD_FEATURES, 1.0, np.float32)
-    used = 0
-    for row in rows:
-        _, place, features = model.block(row)
-        train = np.flatnonzero(np.repeat(~np.array(row["held"], bool), row["sizes"]))
-        used += len(train)
-        for at in range(0, len(train), BATCH):
-            own = train[at : at + BATCH]
-            goal, found = place[own], features[own]
-            kind = np.where(goal >= 0, goal // model.class_words, model.classes)
-            where = model.class_features(found)
-            gradient = _softmax(_gathered(model.class_rows, where, model.class_bias))
-            gradient[np.arange(len(own)), kind] -= 1
-            _update(model.class_rows, seen_class, where, gradient)
-            known = np.flatnonzero(goal >= 0)
-            if len(known):
-                where = model.word_features(found[known], kind[known])
-                gradient = _softmax(_gathered(model.word_rows, where, model.word_bias[kind[known]]))
-                gradient[np.arange(len(known)), goal[known] % model.class_words] -= 1
-                _update(model.word_rows, seen_word, where, gradient)
-    return used
-
-
-def train(made: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
-    """One pass over all blocks in ``rounds`` parts, each a distributed update of the shared weights."""
+        history = np.stack([mix(back1, 2), mix(back1 ^ mix(back2, 3), 4), mix(back2, 5)], axis=1)
+        assert n == len(hashes)
+        return codes, [(root, None, 3, history), (child, node, 3, history), (cell, last, 1, history), share]
+
+    def features(self, history: np.ndarray, nodes: np.ndarray | None, count: int) -> np.ndarray:
+        """Rows of the tables; small numbers, which sort fast."""
+        if nodes is None:
+            return (history & np.uint64(ROOT_FEATURES - 1)).astype(np.uint16)
+        return (mix(history[:, :count] ^ (nodes.astype(np.uint64)[:, None] << np.uint64(20)), 6) & np.uint64(NODE_FEATURES - 1)).astype(np.uint16)
+
+    def chances(self, at: np.ndarray, nodes: np.ndarray | None) -> np.ndarray:
+        """Softmax over a step's outcomes."""
+        table = self.root if nodes is None else self.node
+        out = table.take(at[:, 0], axis=0)
+        for k in range(1, at.shape[1]):
+            out += table.take(at[:, k], axis=0)
+        out += self.bias[0] if nodes is None else self.bias.take(nodes, axis=0)
+        np.exp(np.minimum(out, 60, out=out), out=out)
+        out *= (1 / (out @ _ONES))[:, None]
+        return out
+
+    def update(self, at: np.ndarray, nodes: np.ndarray | None, gradient: np.ndarray) -> None:
+        """Adagrad on the rows that a minibatch touches, one step size for a row."""
+        table, seen = (self.root, self.root_seen) if nodes is None else (self.node, self.node_seen)
+        flat = at.ravel()
+        order = np.argsort(flat, kind="stable")
+        ranked = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        summed = np.add.reduceat(gradient.take(order // at.shape[1], axis=0), first, axis=0)
+        touched = ranked[first]
+        seen[touched] += np.einsum("ij,ij->i", summed, summed) / WIDTH
+        table[touched] -= summed * (RATE / np.sqrt(seen[touched]))[:, None]
+
+
+def train_block(model: Model, row: dict) -> int:
+    """Updates the model in place over the block's training documents; returns their tokens."""
+    codes, (*levels, _) = model.steps(row)
+    train = np.flatnonzero(np.repeat(~np.asarray(row["held"], bool), row["sizes"]))
+    for begin in range(0, len(train), BATCH):
+        batch = train[begin : begin + BATCH]
+        for children, nodes, count, history in levels:
+            own, of = batch, None
+            if nodes is not None:
+                of = nodes[codes[batch]]
+                own, of = batch[of >= 0], of[of >= 0]
+                if not len(own):
+                    continue
+            at = model.features(history[own], of, count)
+            gradient = model.chances(at, of)
+            gradient[np.arange(len(own)), children[codes[own]]] -= 1
+            model.update(at, of, gradient)
+    return len(train)
+
+
+def train(made: DataFrame, model: Model, epochs: int = EPOCHS, rounds: int = ROUNDS) -> None:
+    """``epochs`` passes over all blocks, each in ``rounds`` distributed updates of the shared weights."""
     spark = made.sparkSession
-    width = PART_BYTES // 4
+    tables = ("root", "node")
+    sizes = {"root": ROOT_FEATURES, "node": NODE_FEATURES}
+    parts = [(name, begin) for name in tables for begin in range(0, sizes[name], PART_ROWS)]
+    schema = "part int, spread long, order long, weight binary, change binary"
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(0, np.float32)
-        weight = 0
-        for data, tokens in zip(table.column("data").to_pylist(), table.column("tokens").to_pylist(), strict=True):
-            change = np.frombuffer(data, "<f4")
-            total = change.copy() if not len(total) else total + change
-            weight += tokens
+        """Sums by a fixed order, so that they do not depend on the tasks."""
+        table = table.sort_by("order")
+        weight = change = 0
+        for w, c in zip(table.column("weight").to_pylist(), table.column("change").to_pylist(), strict=True):
+            weight, change = weight + np.frombuffer(w, "<f4"), change + np.frombuffer(c, "<f4").reshape(-1, WIDTH)
+        first = table.slice(0, 1)
+        return pa.table({"part": first.column("part"), "spread": pa.array([0], pa.int64()), "order": first.column("spread"), "weight": pa.array([weight.tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
+
+    def halved(table: pa.Table) -> pa.Table:
+        """A block's change travels in half precision."""
+        table = table.sort_by("order")
+        weight = change = 0
+        for w, c in zip(table.column("weight").to_pylist(), table.column("change").to_pylist(), strict=True):
+            w = np.frombuffer(w, "<f4")
+            weight, change = weight + w, change + np.frombuffer(c, "<f2").reshape(-1, WIDTH).astype(np.float32) * w[:, None]
         first = table.slice(0, 1)
-        return pa.table({"part": first.column("part"), "spread": first.column("spread"), "tokens": pa.array([weight], pa.int64()), "data": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"part": first.column("part"), "spread": pa.array([0], pa.int64()), "order": first.column("spread"), "weight": pa.array([weight.tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
 
-    for turn in range(rounds):
+    for turn in range(epochs * rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import copy
 
-            from pyspark import TaskContext
-
-            own = copy.copy(shared.value)
-            own.set(shared.value.flat.copy())
-            tokens = train_blocks(own, (row for batch in batches for row in batch.to_pylist()))
-            if tokens:
-                change = (own.flat - shared.value.flat) * np.float32(tokens)
-                for part, at in enumerate(range(0, len(change), width)):
-                    yield pa.record_batch([pa.array([part], pa.int32()), pa.array([TaskContext.get().partitionId() % SPREAD], pa.int32()), pa.array([tokens], pa.int64()), pa.array([change[at : at + width].astype("<f4").tobytes()], pa.binary())], names=["part", "spread", "tokens", "data"])
-
-        schema = "part int, spread int, tokens long, data binary"
-        with _rows_per_batch(spark, 4):
-            own = made.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn).select("held", "sizes", "codes", "words")
-            summed = own.mapInArrow(run, schema).groupBy("part", "spread").applyInArrow(add, schema)
-            summed = summed.withColumn("spread", F.lit(0)).groupBy("part").applyInArrow(add, schema)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    own = copy.copy(shared.value)
+                    own.root, own.node, own.root_seen, own.node_seen = (x.copy() for x in (own.root, own.node, own.root_seen, own.node_seen))
+                    if not train_block(own, row):
+                        continue
+                    for part, (name, begin) in enumerate(parts):
+                        rows = slice(begin, begin + PART_ROWS)
+                        weight = (getattr(own, f"{name}_seen") - getattr(shared.value, f"{name}_seen"))[rows]
+                        change = (getattr(own, name) - getattr(shared.value, name))[rows]
+                        yield pa.record_batch(
+                            [pa.array([part], pa.int32()), pa.array([row["block"] // SPREAD], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([weight.astype("<f4").tobytes()], pa.binary()), pa.array([change.astype("<f2").tobytes()], pa.binary())],
+                            names=["part", "spread", "order", "weight", "change"],
+                        )
+
+        with _rows_per_batch(spark, 2):
+            own = made.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn % rounds).select("block", "held", "sizes", "codes", "hashes", "totals")
+            summed = own.mapInArrow(run, schema).groupBy("part", "spread").applyInArrow(halved, schema)
             # the model's own size: a few megabytes
-            rows = sorted(summed.collect(), key=lambda r: r["part"])
-        if rows:
-            model.set((model.flat + np.concatenate([np.frombuffer(r["data"], "<f4") / np.float32(r["tokens"]) for r in rows])).astype(np.float32))
+            found = summed.groupBy("part").applyInArrow(add, schema).select("part", "weight", "change").collect()
+        for row in found:
+            name, begin = parts[row["part"]]
+            rows = slice(begin, begin + PART_ROWS)
+            weight = np.frombuffer(row["weight"], "<f4")
+            getattr(model, name)[rows] += np.frombuffer(row["change"], "<f4").reshape(-1, WIDTH) / np.maximum(weight, 1e-30)[:, None]
+            getattr(model, f"{name}_seen")[rows] += weight
+        shared.destroy()
 
 
-def score_block(model: Model, row: dict, totals_of: np.ndarray) -> tuple[np.ndarray, ...]:
+def score_block(model: Model, row: dict) -> tuple[np.ndarray, ...]:
     """Tokens, known tokens, base and model log10 scores of a block's documents."""
-    codes, place, features = model.block(row)
-    counts = totals_of[codes]
+    codes, (*levels, share) = model.steps(row)
+    counts = np.asarray(row["totals"], np.int64)
     offsets = np.concatenate([[0], np.cumsum(row["sizes"])])
-    base = np.log((counts + 1) / (model.tokens + model.distinct + 1))
-    logs = np.where(place < 0, np.log((counts + 1) / model.tail_norm), 0.0)
-    for at in range(0, len(codes), BATCH):
-        own = slice(at, at + BATCH)
-        goal, found = place[own], features[own]
-        kind = np.where(goal >= 0, goal // model.class_words, model.classes)
-        chance = _softmax(_gathered(model.class_rows, model.class_features(found), model.class_bias))
-        logs[own] += np.log(np.maximum(chance[np.arange(len(goal)), kind], 1e-30))
-        known = np.flatnonzero(goal >= 0)
-        if len(known):
-            chance = _softmax(_gathered(model.word_rows, model.word_features(found[known], kind[known]), model.word_bias[kind[known]]))
-            logs[at + known] += np.log(np.maximum(chance[np.arange(len(known)), goal[known] % model.class_words], 1e-30))
-    return np.diff(offsets), segment_sums((counts > 0).astype(np.int64), offsets), segment_sums(base, offsets) / math.log(10), segment_sums(logs, offsets) / math.log(10)
-
-
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows where ``held_out`` is false."""
+    base = np.log((counts + 1) / (model.tokens + model.distinct + 1))[codes]
+    logs = share[codes]
+    for begin in range(0, len(codes), BATCH):
+        batch = np.arange(begin, min(begin + BATCH, len(codes)))
+        for children, nodes, count, history in levels:
+            own, of = batch, None
+            if nodes is not None:
+                of = nodes[codes[batch]]
+                own, of = batch[of >= 0], of[of >= 0]
+                if not len(own):
+                    continue
+            chance = model.chances(model.features(history[own], of, count), of)
+            logs[own] += np.log(np.maximum(chance[np.arange(len(own)), children[codes[own]]], 1e-30))
+    return np.diff(offsets), segment_sums((counts > 0)[codes].astype(np.int64), offsets), segment_sums(base, offsets) / math.log(10), segment_sums(logs, offsets) / math.log(10)
+
+
+def counted(docs: DataFrame, held_out: Column, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, Model]:
+    """The blocks with their words' hashes and totals, and the model before training."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "maxent")
     made = scratch.keep(blocks(docs, held_out, id_col, text_col), "blocks")
-    with _rows_per_batch(spark, 16):
-        counted = scratch.keep(totals(made, CLASSES * CLASS_WORDS), "totals")
-    sums = counted.where("block is null")
+    with _rows_per_batch(spark, 8):
+        found = scratch.keep(totals(made, HEAD * WIDTH), "totals")
+    sums = found.where("block is null")
     whole = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
-    best = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n")).orderBy(F.desc("n"), "word").limit(CLASSES * CLASS_WORDS).collect()
-    model = Model([r["word"] for r in best], [r["n"] for r in best], whole.n, whole.v)
-    train(made, model, rounds)
-    shared = spark.sparkContext.broadcast(model)
-    lists = counted.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("b"))
+    best = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n")).orderBy(F.desc("n"), "word").limit(HEAD * WIDTH).collect()
+    masses = np.zeros(BANDS * WIDTH * WIDTH, np.int64)
+    # one row for each cell: BANDS * WIDTH * WIDTH at most
+    for r in sums.select(F.posexplode("masses").alias("at", "mass")).where("mass > 0").groupBy("at").agg(F.sum("mass").alias("mass")).collect():
+        masses[r["at"]] = r["mass"]
+    model = Model([r["word"] for r in best], [r["n"] for r in best], masses, whole.n, whole.v)
+    lists = found.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("b"))
     lists = lists.select("block", F.flatten(F.transform("b", lambda x: x["counts"])).alias("totals"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                hashes = hash_words(row.column("words")[0].values.to_pylist(), 3).astype("<u8").tobytes()
+                yield pa.record_batch([*(row.column(n) for n in ("block", "ids", "held", "sizes", "codes")), pa.array([hashes], pa.binary()), row.column("totals")], names=["block", "ids", "held", "sizes", "codes", "hashes", "totals"])
+
     joined = made.select("block", "ids", "held", "sizes", "codes", "words").join(lists, "block")
+    with _rows_per_batch(spark, 2):
+        out = scratch.keep(joined.mapInArrow(hashed, "block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, hashes binary, totals array<long>"), "counted")
+    scratch.drop(scratch.paths[-1])
+    return out, model
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows where ``held_out`` is false."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "maxent")
+    made, model = counted(docs, held_out, id_col, text_col, scratch)
+    train(made, model, epochs, rounds)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).drop_columns(["totals"]).to_pylist()[0]
-                tokens, known, base, own = score_block(shared.value, row, batch.column("totals")[k].values.to_numpy())
+            for row in batch.to_pylist():
+                tokens, known, base, own = score_block(shared.value, row)
                 n = len(tokens)
                 yield pa.record_batch(
                     [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(n, shared.value.tokens, np.int64)), pa.array(base), pa.array(own)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    with _rows_per_batch(spark, 4):
-        return scratch.finish(joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    with _rows_per_batch(spark, 2):
+        return scratch.finish(made.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
