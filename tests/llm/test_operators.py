@@ -546,3 +546,54 @@ def test_site_posteriors(spark):
     for k, r in got.items():
         assert r.host_score == pytest.approx(host[k[0]]) and r.path_score == pytest.approx(path[k])
         assert r.odds == pytest.approx(math.log(path[k] / (1 - path[k])) - math.log(mean / (1 - mean)))
+
+
+def test_maxent_probabilities(spark):
+    import random
+
+    import numpy as np
+
+    from tidelog.llm.scratch import Scratch
+
+    pick = random.Random(9)
+    words_ = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 1) for k in range(3000)]
+    data = []
+    for k in range(400):
+        text = pick.choices(words_, weights, k=pick.randrange(0, 300))
+        # after w1 comes a word that is rare elsewhere
+        data.append((k, " ".join(x + " z7" if x == "w1" else x for x in text)))
+    data += [(k, "w5 " * 20000) for k in (1000, 1001)] + [(None, "w1 w2"), (2000, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    held = F.col("doc_id") % 7 == 2
+    # partitions change nothing
+    one, many = (maxent_lm.score(df.repartition(n), held).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True) for n in (1, 9))
+    assert one.equals(many)
+    gain = (one.score - one.base_score)[one.held_out & one.doc_id.notna()].sum() / one.n_tokens[one.held_out & one.doc_id.notna()].sum()
+    assert gain > 0.02
+    made, model = maxent_lm.counted(df, held, "doc_id", "text", Scratch(spark, "test"))
+    maxent_lm.train(made, model, 1, 2)
+    known = {}
+    for row in made.collect():
+        known |= zip(np.frombuffer(row["hashes"], "<u8").tolist(), row["totals"], strict=True)
+    counts = Counter(t for k, text in data if k is not None and k % 7 != 2 for t in [w.translate(LOWER) for w in words(text)] + ["\n"])
+    assert sum(v > 0 for v in known.values()) == len(counts)
+    # after any history, all known words and the unknown one add up to one
+    vocabulary = [h for h, c in known.items() if c] + [12345]
+    totals = [known.get(h, 0) for h in vocabulary]
+    for history in (["w1"], ["w0", "w3"], ["nobody"]):
+        hashes = np.array([*token_index_hash(history), *vocabulary], np.uint64)
+        texts = [[k for k in range(len(history))] + [len(history) + n] for n in range(len(vocabulary))]
+        row = {"hashes": hashes.astype("<u8").tobytes(), "totals": [0] * len(history) + totals, "sizes": [len(t) for t in texts], "codes": maxent_lm._packed(np.array([c for t in texts for c in t], "<i4")), "held": [False] * len(texts)}
+        context = {"hashes": row["hashes"], "totals": row["totals"], "sizes": [len(history)], "codes": maxent_lm._packed(np.arange(len(history)).astype("<i4")), "held": [False]}
+        logs = maxent_lm.score_block(model, row)[3] - maxent_lm.score_block(model, context)[3]
+        assert (10**logs).sum() == pytest.approx(1, abs=1e-3)
+        if history == ["w1"]:
+            at = vocabulary.index(token_index_hash(["z7"])[0])
+            assert 10 ** logs[at] > 3 * (counts["z7"] + 1) / (sum(counts.values()) + len(counts) + 1)
+
+
+def token_index_hash(words_):
+    from tidelog.llm.textops import hash_words
+
+    return hash_words(words_, 3).tolist()
