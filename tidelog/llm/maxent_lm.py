@@ -49,7 +49,7 @@ UNKNOWN = HEAD + BANDS
 #: The root is node 0; then the classes, the bands, and a node for each first cell of a band.
 NODES = 1 + HEAD + BANDS + BANDS * WIDTH
 ROOT_FEATURES, NODE_FEATURES = 1 << 13, 1 << 14
-EPOCHS, ROUNDS, BATCH, RATE = 2, 3, 8192, 0.15
+EPOCHS, ROUNDS, BATCH, RATE = 1, 4, 8192, 0.3
 PART_ROWS, SPREAD = 1 << 12, 64
 #: No word holds a line feed.
 END = "\n"
@@ -277,12 +277,27 @@ class Model:
         order = np.argsort(flat, kind="stable")
         ranked = flat[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        summed = np.add.reduceat(gradient.take(order // at.shape[1], axis=0), first, axis=0)
+        summed = _row_sums(gradient, order // at.shape[1], first)
         touched = ranked[first]
         seen[touched] += np.einsum("ij,ij->i", summed, summed) / WIDTH
         table[touched] -= summed * (RATE / np.sqrt(seen[touched]))[:, None]
 
 
+def _row_sums(rows: np.ndarray, source: np.ndarray, first: np.ndarray, short: int = 16) -> np.ndarray:
+    """Sums of ``rows[source]`` over the runs that begin at ``first``; most runs are short."""
+    size = np.diff(np.append(first, len(source)))
+    out = rows.take(source[first], axis=0)
+    for k in range(1, short):
+        longer = np.flatnonzero(size > k)
+        if not len(longer):
+            return out
+        out[longer] += rows.take(source[first[longer] + k], axis=0)
+    for k in np.flatnonzero(size > short).tolist():
+        own = source[first[k] + short : first[k] + size[k]]
+        out[k] += np.ones(len(own), np.float32) @ rows.take(own, axis=0)
+    return out
+
+
 def train_block(model: Model, row: dict) -> int:
     """Updates the model in place over the block's training documents; returns their tokens."""
     codes, (*levels, _) = model.steps(row)
