@@ -6,6 +6,7 @@ else a missing field is read as empty text first, so every leaf is true or false
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column
@@ -45,8 +46,24 @@ def _ipv4(c: Column) -> Column:
 def _time_literal(log: Log, ns: int) -> Column:
     if log.types[log.time] == "bigint":
         return F.lit(ns)
-    # the first microsecond that isn't before the bound
-    return F.timestamp_micros(F.lit(-(-ns // 1000))).cast(log.types[log.time])
+    # the first microsecond that isn't before the bound; bounds beyond the calendar are its ends
+    micros = min(max(-(-ns // 1000), -62135596800 * 10**6), 253402300799 * 10**6)
+    if log.types[log.time] == "timestamp":
+        return F.timestamp_micros(F.lit(micros))
+    # without a zone, whatever the session's is
+    at = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)).isoformat(sep=" ")
+    if log.types[log.time] == "date":
+        whole = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)
+        day = whole.date() if whole.time() == dt.time() else whole.date() + dt.timedelta(days=1)
+        return F.expr(f"date'{day.isoformat()}'")
+    return F.expr(f"timestamp_ntz'{at}'")
+
+
+def within(log: Log, low: int | None, high: int | None) -> Column:
+    """Rows of [low, high) in nanoseconds, in a form that reaches the scan."""
+    c, out = F.col(f"`{log.time}`"), F.lit(True)
+    out = out & (c >= _time_literal(log, low)) if low is not None else out
+    return out & (c < _time_literal(log, high)) if high is not None else out
 
 
 def _equal(log: Log, node: Leaf, c: Column) -> Column:
@@ -80,12 +97,8 @@ def leaf(log: Log, node: Leaf, empty: bool = False) -> Column:
     if node.name == "_time" and op in ("time", "day_range", "week_range"):
         if not log.time:
             raise ParseError("the log has no time")
-        c = F.col(f"`{log.time}`")
         if op == "time":
-            low, high = args
-            out = F.lit(True)
-            out = out & (c >= _time_literal(log, low)) if low is not None else out
-            return out & (c < _time_literal(log, high)) if high is not None else out
+            return within(log, *args)
         minutes = F.floor(log.ns() / F.lit(60 * 10**9)).cast("bigint")
         if op == "day_range":
             return F.pmod(minutes, F.lit(1440)).between(*args)

@@ -19,17 +19,106 @@ def to_number(c: Column, dtype: str) -> Column:
     return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
+def number_text(c: Column) -> Column:
+    """A double's shortest digits: plain from 1e-4 to below 1e6, with an exponent of two digits or more otherwise."""
+    s = c.cast("string")
+    part = lambda k: F.regexp_extract(s, r"^-?([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", k)
+    whole = F.concat(part(1), part(2))
+    lead = F.length(F.regexp_extract(whole, "^0*", 0))
+    digits = F.regexp_replace(F.regexp_replace(whole, "^0+", ""), "0+$", "")
+    point = F.length(part(1)) + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0)) - lead
+    size, exponent = F.length(digits), point - 1
+    power = F.abs(exponent).cast("string")
+    scientific = F.concat(
+        F.substring(digits, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")),
+        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power),
+    )
+    plain = F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)).when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+    plain = plain.otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+    text = F.when(digits == "", F.lit("0")).when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
+    sign = F.when(s.startswith("-") & (digits != ""), F.lit("-")).otherwise(F.lit(""))
+    return F.when(s.isin("NaN"), s).when(s == "Infinity", F.lit("+Inf")).when(s == "-Infinity", F.lit("-Inf")).otherwise(F.concat(sign, text))
+
+
+def epoch_micros(c: Column, dtype: str) -> Column:
+    """Microseconds since 1970 of a timestamp or, without any zone, of a date and time."""
+    if dtype == "timestamp":
+        return F.unix_micros(c)
+    if dtype == "timestamp_ntz":
+        seconds = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+        return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000
+
+
+def utc(seconds: Column) -> Column:
+    """A timestamp that the session's zone shows as UTC."""
+    return F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
+
+
+#: Names of character sets that a bracket may hold: fixed values of POSIX.
+POSIX = {
+    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}",
+    "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\s", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}",
+}
+
+
+def valid_regexp(pattern: str) -> bool:
+    """Whether the JVM takes the pattern."""
+    from py4j.protocol import Py4JError
+    from pyspark.sql import SparkSession
+
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(java_regexp(pattern)[0])
+    except Py4JError:
+        return False
+    return True
+
+
+def java_replacement(pattern: str, new: str) -> str:
+    """``$1``, ``${1}``, ``$name`` and ``${name}`` as group numbers; of another dollar sign, itself; an unknown group is empty."""
+    _, names = java_regexp(pattern)
+    groups = len(re.findall(r"(?<!\\)\((?!\?)|\(\?P?<\w+>", pattern))
+
+    def one(m: re.Match) -> str:
+        if m[0] == "$$":
+            return r"\$"
+        if m[0] in ("$", "\\"):
+            return "\\" + m[0]
+        name = m[1] or m[2]
+        number = int(name) if name.isdigit() else names.get(name, -1)
+        return f"${{{number}}}" if 0 <= number <= groups else ""
+
+    made = re.sub(r"\$\$|\$\{(\w+)\}|\$(\w+)|\$|\\", one, new)
+    return re.sub(r"\$\{(\d+)\}(?=(\d)?)", lambda m: f"${m[1]}" + ("\\" if m[2] else ""), made)
+
+
 def java_regexp(pattern: str) -> tuple[str, dict[str, int]]:
     """The pattern in Java's dialect, and the numbers of its named groups."""
     out, names, groups, at, inside = [], {}, 0, 0, False
     while at < len(pattern):
         c = pattern[at]
+        if pattern.startswith("\\Q", at) and not inside:
+            stop = pattern.find("\\E", at)
+            stop = stop if stop >= 0 else len(pattern)
+            out.append(re.escape(pattern[at + 2 : stop]))
+            at = stop + 2
+            continue
         if c == "\\":
             out.append(pattern[at : at + 2])
             at += 2
             continue
         if inside:
-            inside = c != "]"
+            m = re.match(r"\[:(\^?)(\w+):\]", pattern[at:])
+            if m and m[2] in POSIX:
+                own = POSIX[m[2]]
+                out.append(own.replace(own[1], own[1].upper(), 1) if m[1] else own)
+                at += m.end()
+                continue
+            # a bracket or && inside a set is plain text, and so is a closing bracket that comes first
+            if c == "[" or pattern.startswith("&&", at) or c == "]" and pattern[at - 1 : at] in ("[",) or c == "]" and pattern[at - 2 : at] == "[^":
+                c = "\\" + c
+            else:
+                inside = c != "]"
         elif c == "[":
             inside = True
         elif c == "(":

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import to_number
+from tidelog.functions.text import epoch_micros, number_text, to_number
 
 #: Hidden map of fields that are known only from the data.
 EXTRA = "_extra"
@@ -58,7 +58,8 @@ class Log:
 
     def text(self, name: str | None) -> Column:
         """The field as text; missing is empty."""
-        return F.coalesce(self.raw(name).cast("string"), F.lit(""))
+        c = self.raw(name)
+        return F.coalesce(number_text(c) if self.type_of(name) in ("float", "double") else c.cast("string"), F.lit(""))
 
     def number(self, name: str | None) -> Column:
         return to_number(self.raw(name), self.type_of(name))
@@ -69,11 +70,11 @@ class Log:
 
     def ns(self) -> Column:
         """The time in nanoseconds."""
-        c = F.col(f"`{self.time}`")
-        return c if self.types[self.time] == "bigint" else F.unix_micros(c.cast("timestamp")) * 1000
+        c, kind = F.col(f"`{self.time}`"), self.types[self.time]
+        return c if kind == "bigint" else epoch_micros(c, kind) * 1000
 
     def order_columns(self, desc: bool = False) -> list[Column]:
         if self.ranked:
-            return [c.desc_nulls_last() if down != desc else c.asc_nulls_first() for c, down in self.ranked]
+            return [(c.asc_nulls_first() if desc else c.desc_nulls_last()) if down else (c.desc_nulls_first() if desc else c.asc_nulls_last()) for c, down in self.ranked]
         names = [n for n in (self.order or ((self.time,) if self.time else ())) if self.has(n)]
         return [F.col(f"`{n}`").desc() if desc else F.col(f"`{n}`").asc() for n in names]

@@ -20,6 +20,31 @@ def _percentile(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({1 - min(1.0, max(0.0, p))}D) within group (order by {column} desc)")
 
 
+def _ranked_build(log: Log, agg: Agg, name: str, when, full: Column) -> tuple[dict[str, Column], Column]:
+    """The same where a sort stands before: its keys, each in its direction, decide."""
+    c, keys = F.col(name), log.ranked
+    score = when(log.number(agg.fields[0])) if agg.fn in ("row_min", "row_max") else None
+    out = log.raw(agg.fields[1]) if score is not None else full
+    shown = score.isNotNull() if score is not None else when(full).isNotNull()
+    first = [F.lit(0.0) if score is None else score if agg.fn == "row_min" else -score]
+    row = F.struct(first[0].alias("s"), *[k.alias(f"k{n}") for n, (k, _) in enumerate(keys)], out.alias("v"))
+
+    def order(a: Column, b: Column) -> Column:
+        made = F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1)
+        for n, (_, down) in enumerate(keys):
+            x, y = a[f"k{n}"], b[f"k{n}"]
+            made = made.when(x.isNull() & y.isNotNull(), 1).when(x.isNotNull() & y.isNull(), -1).when(x < y, 1 if down else -1).when(x > y, -1 if down else 1)
+        return made.otherwise(0)
+
+    held = F.array_sort(F.collect_list(c), order)
+    if agg.fn == "values":
+        made = F.to_json(F.transform(F.slice(held, 1, VALUES), lambda x: x["v"]))
+    else:
+        made = F.get(held, F.lit(0))["v"]
+        made = F.coalesce(made, F.lit("")) if agg.fn == "row_any" else made
+    return {name: F.when(shown, row)}, made
+
+
 def _build(log: Log, agg: Agg, k: int, seconds: float | None) -> tuple[dict[str, Column], Column]:
     """Columns to compute before grouping, and the aggregate over them."""
     name, fn = f"__v{k}", agg.fn
@@ -55,6 +80,8 @@ def _build(log: Log, agg: Agg, k: int, seconds: float | None) -> tuple[dict[str,
         return {name: when(F.when(text == "", 1))}, F.count(c)
     order = [F.col(f"`{n}`") for n in (log.order or ((log.time,) if log.time else ())) if log.has(n)]
     rank = F.struct(*order) if order else F.monotonically_increasing_id()
+    if log.ranked and fn in ("values", "row_any", "row_min", "row_max"):
+        return _ranked_build(log, agg, name, when, full)
     if fn == "values":
         held = F.slice(F.array_sort(F.collect_list(c)), 1, VALUES)
         return {name: F.when(when(full).isNotNull(), F.struct(rank.alias("o"), full.alias("v")))}, F.to_json(F.transform(held, lambda x: x["v"]))

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.text import epoch_micros
 from tidelog.log import Log
 
 #: Ranges that the rows are parted into, and the error of their bounds.
 RANGES = 256
 
 
+def _ascending(c: Column, kind: str) -> Column:
+    """A number that never falls where the value rises; of a text its first seven bytes."""
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return c
+    if kind.startswith("decimal"):
+        return c.cast("double")
+    if kind == "boolean":
+        return c.cast("int")
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return epoch_micros(c, kind)
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(c.cast("string"), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+
+
 def numbered(log: Log, name: str) -> DataFrame:
     """The rows with their position from 0 in the log's order.
 
@@ -20,13 +34,15 @@ def numbered(log: Log, name: str) -> DataFrame:
     order = log.order_columns()
     if not order:
         raise ValueError("the log has no order")
-    lead = (log.order or (log.time,))[0]
-    c = F.col(f"`{lead}`")
-    c = c if log.types[lead] in ("bigint", "int", "double") else F.unix_micros(c.cast("timestamp")) if log.types[lead].startswith("timestamp") else F.xxhash64(F.lit(0))
+    # the leading key of the order that holds, after a sort its own, as a number that ascends with it
+    lead, down = log.ranked[0] if log.ranked else (F.col(f"`{(log.order or (log.time,))[0]}`"), False)
+    c = _ascending(lead, log.df.select(lead.alias("c")).dtypes[0][1])
+    c = -c if down else c
     bounds = sorted(set(log.df.select(F.percentile_approx(c, [k / RANGES for k in range(1, RANGES)], 10000)).first()[0] or []))
     held = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
     # the number of bounds up to the value; a null comes first
-    part = F.coalesce(F.size(F.filter(held, lambda b: b <= c)), F.lit(-1)) if bounds else F.lit(0)
+    # a null comes last after a sort, else first
+    part = F.coalesce(F.size(F.filter(held, lambda b: b <= c)), F.lit(RANGES if log.ranked else -1)) if bounds else F.lit(0)
     rows = log.df.withColumn("__range", part)
     counts = {r[0]: r[1] for r in rows.groupBy("__range").count().collect()}
     begins, total = [], 0

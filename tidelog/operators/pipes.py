@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import NUMERIC_TYPES, fnv1a64, java_regexp
+from tidelog.functions.text import NUMERIC_TYPES, fnv1a64, java_regexp, java_replacement, valid_regexp
 from tidelog.log import EXTRA, Log
 from tidelog.operators import introspect
 from tidelog.operators.aggregates import stats
@@ -37,9 +37,11 @@ def fields(log: Log, a: dict, later) -> Log:
     hidden = []
     order = log.order or ((log.time,) if log.time else ())
     if later.positional and not log.ranked:
-        hidden = [F.col(f"`{n}`").alias(f"{HIDDEN}{k}") for k, n in enumerate(order) if log.has(n)]
+        order = [n for n in order if log.has(n)]
+        hidden = [F.col(f"`{n}`").alias(f"{HIDDEN}{k}") for k, n in enumerate(order)]
     named = [log.raw(n).alias(n) for n in dict.fromkeys(a["fields"])]
-    return log.at(log.df.select(*named, *hidden), order=tuple(f"{HIDDEN}{k}" for k in range(len(hidden))) if hidden else log.order)
+    hidden += [F.col(f"`{n}`") for n in log.df.columns if n.startswith(f"{HIDDEN}s")]
+    return log.at(log.df.select(*named, *hidden), order=tuple(f"{HIDDEN}{k}" for k in range(len(order))) if later.positional and not log.ranked and hidden else log.order)
 
 
 def delete(log: Log, a: dict, later) -> Log:
@@ -174,17 +176,21 @@ def _unpacked(log: Log, found: Column, prefix: str, later) -> Log:
 
 
 def unpack_json(log: Log, a: dict, later) -> Log:
-    found = F.from_json(log.text(_target(log, a)), "map<string,string>")
+    text = log.text(_target(log, a))
+    # numbers keep their spelling; where the quotes put around them break the text, it is read as it stands
+    spelled = F.regexp_replace(text, r"(:\s*)(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?=\s*[,}])", '$1"$2"')
+    found = F.coalesce(F.from_json(spelled, "map<string,string>"), F.from_json(text, "map<string,string>"))
     return _unpacked(log, F.transform_values(found, lambda _, v: F.coalesce(v, F.lit(""))), a["prefix"], later)
 
 
 def logfmt_map(c: Column) -> Column:
-    """k=v and k="v" pairs; of equal keys the last wins."""
-    pair = F.lit(r'([^\s="]+)=("[^"]*"|\S*)')
+    """k=v and k="v" pairs, where a backslash in quotes takes the next character as it is, and keys without a value; of equal keys the last wins."""
+    pair = F.lit(r'([^ \t=]+)(?:=("(?:[^"\\]|\\.)*(?:"|\\?$)|[^ \t]*))?|=("(?:[^"\\]|\\.)*(?:"|\\?$)|[^ \t]*)')
     keys = F.regexp_extract_all(c, pair, 1)
-    values = F.transform(F.regexp_extract_all(c, pair, 2), lambda v: F.regexp_replace(v, r'^"([^"]*)"$', "$1"))
+    quoted = lambda v: F.regexp_replace(F.regexp_replace(v, r'(?s)^"((?:[^"\\]|\\.)*)"?(\\?)$', "$1$2"), r"(?s)\\(.)", "$1")
+    values = F.transform(F.regexp_extract_all(c, pair, 2), lambda v: F.when(v.startswith('"'), quoted(v)).otherwise(v))
     both = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(both, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["k"]))
+    last = F.filter(both, lambda x, i: (x["k"] != "") & ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["k"]))
     return F.map_from_entries(last)
 
 
@@ -233,7 +239,9 @@ def replace(log: Log, a: dict, later) -> Log:
 
 def replace_regexp(log: Log, a: dict, later) -> Log:
     name = _target(log, a)
-    return _set(log, name, F.regexp_replace(log.text(name), java_regexp(a["old"])[0], re.sub(r"\$\{(\d+)\}", r"$\1", a["new"])))
+    if not valid_regexp(a["old"]):
+        return log
+    return _set(log, name, F.regexp_replace(log.text(name), java_regexp(a["old"])[0], java_replacement(a["old"], a["new"])))
 
 
 def collapse_nums(log: Log, a: dict, later) -> Log:
@@ -302,17 +310,26 @@ def sort(log: Log, a: dict, later) -> Log:
         else:
             keys += [(log.number(name), desc), (log.text(name), desc)]
     ties = [(F.col(f"`{n}`"), False) for n in (log.order or ()) if log.has(n) and n not in dict(a["keys"])]
-    ranked = tuple(keys + ([] if log.ranked else ties))
-    order = [c.desc_nulls_last() if d else c.asc_nulls_last() for c, d in ranked]
-    df = log.df.orderBy(*order)
-    return log.at(df.limit(a["limit"]) if a.get("limit") is not None else df, ranked=ranked)
+    log = _held(log, tuple(keys + list(log.ranked or ties)), later)
+    df = log.df.orderBy(*log.order_columns())
+    return log.at(df.limit(a["limit"]) if a.get("limit") is not None else df)
+
+
+def _held(log: Log, ranked: tuple, later) -> Log:
+    """The log in this order; where later stages depend on it, its keys are kept beside the fields."""
+    if later is None or later.positional:
+        taken = sum(n.startswith(f"{HIDDEN}s") for n in log.df.columns)
+        held = {f"{HIDDEN}s{taken + k}": c for k, (c, _) in enumerate(ranked)}
+        log = log.at(log.df.withColumns(held))
+        ranked = tuple((F.col(n), d) for n, (_, d) in zip(held, ranked, strict=True))
+    return log.at(log.df, ranked=ranked)
 
 
 first = last = sort
 
 
 def _ordered(log: Log):
-    order = [] if log.ranked else log.order_columns()
+    order = log.order_columns()
     return log.df.orderBy(*order) if order else log.df
 
 
@@ -321,7 +338,10 @@ def limit(log: Log, a: dict, later) -> Log:
 
 
 def offset(log: Log, a: dict, later) -> Log:
-    return log.at(_ordered(log).offset(a["n"]))
+    if later.positional or not log.order_columns():
+        return log.at(_ordered(log).offset(a["n"]))
+    # by number: no task has to hold all the rows that follow
+    return log.at(numbered(log, "__n").where(F.col("__n") >= a["n"]).drop("__n"))
 
 
 def tail(log: Log, a: dict, later) -> Log:
@@ -381,8 +401,30 @@ def join(log: Log, a: dict, later) -> Log:
     return log.at((df.withColumns(made) if made else df).drop(*[f"__s{k}" for k in range(len(others))], *[f"__k{k}" for k in range(len(keys))]))
 
 
+def _keys(log: Log) -> list:
+    """Expressions and directions of the order that holds."""
+    from collections import namedtuple
+
+    key = namedtuple("Key", "column down")
+    if log.ranked:
+        return [key(c, d) for c, d in log.ranked]
+    return [key(F.col(f"`{n}`"), False) for n in (log.order or ((log.time,) if log.time else ())) if log.has(n)]
+
+
 def union(log: Log, a: dict, later) -> Log:
-    return log.at(log.df.unionByName(_sub(log, a["query"]).df, allowMissingColumns=True), ranked=())
+    """The other query's rows come after the log's own."""
+    other = _sub(log, a["query"])
+    side = f"{HIDDEN}u"
+    taken = sum(n.startswith(f"{HIDDEN}s") for n in log.df.columns)
+    keys = [[(c.column, c.down) for c in _keys(x)] for x in (log, other)] if later.positional else [[], []]
+    names = [[f"{HIDDEN}s{taken + n}_{k}" for k in range(len(own))] for n, own in enumerate(keys)]
+    parts = [x.df.withColumns({side: F.lit(n)} | {name: c for name, (c, _) in zip(names[n], keys[n], strict=True)}) for n, x in enumerate((log, other))]
+    df = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    if not later.positional:
+        return log.at(df.drop(side), ranked=())
+    df = df.withColumnRenamed(side, f"{HIDDEN}s{taken}_side")
+    ranked = [(F.col(f"{HIDDEN}s{taken}_side"), False)] + [(F.col(name), d) for n in (0, 1) for name, (_, d) in zip(names[n], keys[n], strict=True)]
+    return log.at(df, ranked=tuple(ranked))
 
 
 def stream_context(log: Log, a: dict, later) -> Log:

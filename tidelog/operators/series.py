@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.predicates import within
 from tidelog.log import Log
 from tidelog.operators.aggregates import stats
 from tidelog.plans.language import ParseError, Query
@@ -32,7 +33,7 @@ def hits(log: Log, step_ns: int, by: str | None = None, fields_limit: int | None
         raise ValueError(f"{count} buckets are more than {MAX_BUCKETS}")
     keys = [log.key(by).alias(by)] if by else []
     ns = log.ns()
-    found = log.df.where((ns >= low) & (ns < high)).groupBy(*keys, (ns - F.pmod(ns, F.lit(step_ns))).alias("bucket_ns")).agg(F.count(F.lit(1)).alias("hits"))
+    found = log.df.where(within(log, low, high)).groupBy(*keys, (ns - F.pmod(ns, F.lit(step_ns))).alias("bucket_ns")).agg(F.count(F.lit(1)).alias("hits"))
     if by and fields_limit:
         busiest = found.groupBy(by).agg(F.sum("hits").alias("n")).orderBy(F.desc("n"), by).limit(fields_limit)
         # fields_limit rows

@@ -41,9 +41,9 @@ def run(log: Log, query: Query | str, now_ns: int | None = None) -> Log:
         low, high = log.window
         df = log.df
         if low is not None or high is not None:
-            ns = log.ns()
-            df = df.where(ns >= low) if low is not None else df
-            df = df.where(ns < high) if high is not None else df
+            from tidelog.functions.predicates import within
+
+            df = df.where(within(log, low, high))
         log = log.at(df, whole=df)
     log = keep(log, query.filter)
     for k, pipe in enumerate(query.pipes):

@@ -7,6 +7,7 @@ counts them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +33,10 @@ def bodies(spark: SparkSession, path: str) -> DataFrame:
 def parse_time(c: Column) -> Column:
     """Nanoseconds of a text: signed digits are nanoseconds, else a date and time with up to nine decimals."""
     fraction = F.rpad(F.regexp_extract(c, r"\.(\d{1,9})", 1), 9, "0").try_cast("bigint")
-    whole = F.unix_seconds(F.regexp_replace(c, r"\.\d+", "").try_cast("timestamp"))
+    # a time without a zone is UTC, whatever the session's zone
+    bare = F.regexp_replace(c, r"\.\d+", "")
+    zoned = F.when(bare.rlike(r"(Z|[+-]\d\d:\d\d)$") & bare.contains(":"), bare).when(bare.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(bare, F.lit("T00:00:00Z"))).otherwise(F.concat(bare, F.lit("Z")))
+    whole = F.unix_seconds(zoned.try_cast("timestamp"))
     dated = F.when(c.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?)?$"), whole * 10**9 + F.coalesce(fraction, F.lit(0)))
     return F.when(c.rlike(r"^[+-]?\d+$"), c.try_cast("bigint")).otherwise(dated)
 
@@ -63,15 +67,25 @@ def logfmt(df: DataFrame, time_field: str = "_time") -> DataFrame:
 
 def bulk(df: DataFrame, time_field: str = "_time") -> DataFrame:
     """Bulk bodies: action lines, each but ``delete`` followed by its document."""
-    items = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    # an action line holds one of four keys; its document is the line after it
-    action = r'^\s*\{\s*"(index|create|update|delete)"\s*:\s*\{'
-    # whether a line is a document: the run of action-like lines before it has odd length, deletes left out
-    kept = F.aggregate(items, F.struct(F.lit(False).alias("due"), F.array().cast("array<string>").alias("docs")), lambda s, x: F.struct(
-        (~s["due"] & x.rlike(action) & ~x.rlike(r'^\s*\{\s*"delete"')).alias("due"),
-        F.when(s["due"], F.concat(s["docs"], F.array(x))).otherwise(s["docs"]).alias("docs"),
-    ), lambda s: s["docs"])
-    return ndjson(df.select(F.explode(kept).alias("value")), time_field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # an action line holds one of four keys; its document is the line after it
+        action = re.compile(r'\s*\{\s*"(index|create|update|delete)"\s*:\s*\{')
+        for batch in batches:
+            for body in batch.column(0):
+                kept, due = [], False
+                for line in (body.as_py() or "").split("\n"):
+                    if not line.strip():
+                        continue
+                    if due:
+                        kept.append(line)
+                        due = False
+                    else:
+                        found = action.match(line)
+                        due = bool(found) and found[1] != "delete"
+                yield pa.record_batch([pa.array(kept, pa.string())], names=["value"])
+
+    return ndjson(df.select("value").mapInArrow(run, "value string"), time_field)
 
 
 def loki(df: DataFrame) -> DataFrame:
@@ -127,7 +141,7 @@ def syslog(df: DataFrame, year: int) -> DataFrame:
     both = lambda x, y: F.when(new, F.regexp_extract(c, RFC5424, x)).when(old, F.regexp_extract(c, RFC3164, y) if y else F.lit(""))
     pri = both(1, 1).try_cast("int")
     stamp = F.regexp_replace(F.regexp_extract(c, RFC3164, 2), " +", " ")
-    older = F.unix_micros(F.try_to_timestamp(F.concat(F.lit(f"{year} "), stamp), F.lit("yyyy MMM d HH:mm:ss"))) * 1000
+    older = F.unix_micros(F.try_to_timestamp(F.concat(F.lit(f"{year} "), stamp, F.lit(" +0000")), F.lit("yyyy MMM d HH:mm:ss xx"))) * 1000
     named = {
         "facility": F.floor(pri / 8).cast("string"), "severity": F.element_at(F.array(*map(F.lit, SEVERITIES)), pri % 8 + 1), "hostname": both(4, 3), "app_name": both(5, 4),
         "proc_id": both(6, 5), "msg_id": both(7, 0), "structured_data": both(8, 0), "_msg": F.coalesce(both(9, 6), c),
@@ -187,26 +201,36 @@ def _wire(data: bytes) -> Iterator[tuple[int, object]]:
 
     def varint(at):
         value = shift = 0
-        while True:
+        while at < len(data):
             value |= (data[at] & 127) << shift
             shift, at = shift + 7, at + 1
             if data[at - 1] < 128:
                 return value, at
+        return None, at
 
     at = 0
     while at < len(data):
+        # a message that ends too early is read as far as it goes
         tag, at = varint(at)
+        if tag is None:
+            return
         kind = tag & 7
         if kind == 0:
             value, at = varint(at)
+            if value is None:
+                return
         elif kind in (1, 5):
             size = 8 if kind == 1 else 4
             value, at = data[at : at + size], at + size
         elif kind == 2:
             size, at = varint(at)
+            if size is None or at + size > len(data):
+                return
             value, at = data[at : at + size], at + size
         else:
             return
+        if at > len(data):
+            return
         yield tag >> 3, value
 
 

@@ -7,14 +7,15 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.text import utc
+
 ROWS_PER_FILE = 8_000_000
 
 
 def write(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Adds rows (``_time_ns`` is their time) under the day's folder; a day may be spread over several tasks by hour."""
-    day = F.date_format(F.timestamp_seconds(F.floor(F.col("_time_ns") / 10**9)), "yyyy-MM-dd")
-    hour = F.floor(F.col("_time_ns") / (3600 * 10**9))
-    dealt = df.withColumn("_date", day).repartition("_date", hour)
+    """Adds rows (``_time_ns`` is their time) under the day's folder; tasks take ranges of time, so a busy hour is spread over several."""
+    day = F.date_format(utc(F.floor(F.col("_time_ns") / 10**9)), "yyyy-MM-dd")
+    dealt = df.withColumn("_date", day).repartitionByRange("_date", "_time_ns")
     dealt.sortWithinPartitions("_date", "_time_ns").write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "zstd").partitionBy("_date").parquet(path)
 
 
@@ -63,6 +64,49 @@ def promote(spark: SparkSession, cold: str, path: str) -> list[str]:
     return demote(spark, cold, path, 1 << 62)
 
 
+def retain_streams(spark: SparkSession, path: str, cutoffs: dict[str, int]) -> list[str]:
+    """Drops the rows of each stream (by its label) before the stream's cutoff; whole days are rewritten beside the old ones and then take their place."""
+    files, days = _days(spark, path)
+    last = max(cutoffs.values(), default=0)
+    changed = []
+    for day, place in days:
+        if day > _day(last):
+            continue
+        df = spark.read.parquet(place.toString())
+        gone = F.lit(False)
+        for label, cutoff in cutoffs.items():
+            gone = gone | ((F.coalesce(F.col("_stream"), F.lit("")) == label) & (F.col("_time_ns") < cutoff))
+        if df.where(gone).isEmpty():
+            continue
+        _rewrite(spark, files, place, df.where(~gone))
+        changed.append(day)
+    return changed
+
+
+def recompact(spark: SparkSession, path: str, cutoff_ns: int, files_of_day: int = 1) -> list[str]:
+    """Rewrites the days before the cutoff in few files, ordered by time, at a high compression level."""
+    files, days = _days(spark, path)
+    done = [(d, p) for d, p in days if d < _day(cutoff_ns)]
+    for _, place in done:
+        df = spark.read.option("mergeSchema", "true").parquet(place.toString())
+        _rewrite(spark, files, place, df.repartitionByRange(files_of_day, "_time_ns").sortWithinPartitions("_time_ns"))
+    return [d for d, _ in done]
+
+
+def _rewrite(spark: SparkSession, files, place, df: DataFrame) -> None:
+    made = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".new-{place.getName()}")
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "19").parquet(made.toString())
+    files.delete(place, True)
+    if not files.rename(made, place):
+        raise OSError(f"cannot replace {place}")
+
+
+def restore(spark: SparkSession, backup_path: str, path: str) -> None:
+    """Puts a backup's rows into a store that doesn't exist yet."""
+    df = spark.read.option("mergeSchema", "true").parquet(backup_path)
+    df.write.mode("errorifexists").option("compression", "zstd").partitionBy("_date").parquet(path)
+
+
 def backup(spark: SparkSession, path: str, to: str) -> None:
-    """A copy of the rows as they are now; restoring is ``write(read(backup))``."""
+    """A copy of the rows as they are now; ``restore`` puts them back."""
     spark.read.option("mergeSchema", "true").parquet(path).write.partitionBy("_date").parquet(to)
