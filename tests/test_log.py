@@ -110,3 +110,67 @@ def test_store_and_tail(spark, tmp_path):
 def test_wire(spark):
     out = [json.loads(r[0]) for r in wire.ndjson(run(logs(spark, ROWS), "a:=y")).collect()]
     assert out == [{"_time": "1970-01-01T00:00:00.000000003Z", "_msg": "three 33", "a": "y", "b": "nope"}]
+
+
+def test_text_of_numbers(spark):
+    # shortest digits, an exponent below 1e-4 and from 1e6 on
+    shown = {2.0: "2", 0.1: "0.1", 1e7: "1e+07", 999999.5: "999999.5", 1234567.5: "1.2345675e+06", 1e-4: "0.0001", 1.5e-12: "1.5e-12", -3.25: "-3.25", 0.0: "0", 1e100: "1e+100", 100000.0: "100000"}
+    df = spark.createDataFrame([(v, t) for v, t in shown.items()], "v double, t string")
+    got = query(Log(df, order=("v",)), '* | format "<v>" as k').collect()
+    assert [r.k for r in got] == [r.t for r in got]
+
+
+def test_logfmt_values(spark):
+    lines = ['a=1 flag b="q\\"z" c= d', "=x k=v k=w", 'open="never closed', "\t t=1\tu=2"]
+    got = [dict(r.fields) for r in formats.logfmt(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert got == [{"a": "1", "flag": "", "b": 'q"z', "c": "", "d": ""}, {"k": "w"}, {"open": "never closed"}, {"t": "1", "u": "2"}]
+
+
+def test_regexp_sets(spark):
+    log = logs(spark, [(1, "abc", "x", "1"), (2, "12", "x", "1"), (3, "d:", "x", "1"), (4, "a[b", "x", "1"), (5, "p+q", "x", "1")])
+    got = lambda text: sorted(r[0] for r in query(log, text).collect())
+    assert got('_msg:~"[[:digit:]]+"') == [2]
+    assert got('_msg:~"^[[:alpha:]]+$"') == [1]
+    assert got('_msg:~"[[:^alpha:]]"') == [2, 3, 4, 5]
+    assert got('_msg:~"[[&&]"') == [4]
+    assert got(r'_msg:~"p\\Q+\\Eq"') == [5]
+
+
+def test_unpack_json_keeps_spelling(spark):
+    log = logs(spark, [(1, '{"a":1.50,"b":"x: 2, y","c":[1,2.0],"d":-1e3}', "", "")])
+    assert query(log, "* | unpack_json | fields a, b, d").first().asDict() == {"a": "1.50", "b": "x: 2, y", "d": "-1e3"}
+
+
+def test_truncated_message(spark):
+    # a record whole, then a length that reaches past the end
+    whole = bytes([10, 10, 18, 8, 18, 6, 42, 4, 10, 2, 104, 105])
+    df = spark.createDataFrame([(bytearray(whole + bytes([10, 200])),), (bytearray(whole),), (bytearray(b"\x0a"),)], "content binary")
+    assert [r.fields for r in formats.otlp_protobuf(df).collect()] == [{"_msg": "hi"}] * 2
+
+
+def test_other_zone(spark):
+    from tidelog import queries
+
+    names = ["time_day", "time_range", "time_day_range", "time_week_range", "stats_range", "hits_dense", "ingest_syslog", "ndjson_rows", "request_window"]
+    rows = lambda n: sorted(map(str, queries.queries()[n](spark, "/root/testdata/sf0.001").collect()))
+    wanted = {n: rows(n) for n in names}
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for n in names:
+            assert rows(n) == wanted[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_window_reaches_the_scan(spark):
+    from tidelog import queries
+    from tidelog.operators import series
+
+    log = queries.log(spark, "/root/testdata/sf0.001", "events", window=queries.JANUARY)
+    for df in (query(log, "* | stats count() n"), series.hits(log, queries.DAY)):
+        plan = df._jdf.queryExecution().toString()
+        assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+
+
+def test_metrics_text():
+    assert wire.metrics({"rows": ("Rows stored.", "gauge", 3)}) == "# HELP tidelog_rows Rows stored.\n# TYPE tidelog_rows gauge\ntidelog_rows 3\n"

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import NUMERIC_TYPES, java_regexp
+from tidelog.functions.text import NUMERIC_TYPES, java_regexp, whole_units
 from tidelog.log import Log
 from tidelog.plans.language import And, Everything, Leaf, Not, Or, ParseError
 
@@ -99,7 +99,7 @@ def leaf(log: Log, node: Leaf, empty: bool = False) -> Column:
             raise ParseError("the log has no time")
         if op == "time":
             return within(log, *args)
-        minutes = F.floor(log.ns() / F.lit(60 * 10**9)).cast("bigint")
+        minutes = whole_units(log.ns(), 60 * 10**9)
         if op == "day_range":
             return F.pmod(minutes, F.lit(1440)).between(*args)
         # 1970-01-01 was a Thursday

@@ -50,6 +50,11 @@ def epoch_micros(c: Column, dtype: str) -> Column:
     return F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000
 
 
+def whole_units(c: Column, unit: int) -> Column:
+    """How often the unit goes into a whole number, rounded down; nanoseconds are too long for a division in doubles."""
+    return F.round((c - F.pmod(c, F.lit(unit))) / F.lit(unit)).cast("bigint")
+
+
 def utc(seconds: Column) -> Column:
     """A timestamp that the session's zone shows as UTC."""
     return F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
@@ -65,11 +70,12 @@ POSIX = {
 def valid_regexp(pattern: str) -> bool:
     """Whether the JVM takes the pattern."""
     from py4j.protocol import Py4JError
+    from pyspark.errors import IllegalArgumentException
     from pyspark.sql import SparkSession
 
     try:
         SparkSession.active()._jvm.java.util.regex.Pattern.compile(java_regexp(pattern)[0])
-    except Py4JError:
+    except (Py4JError, IllegalArgumentException):
         return False
     return True
 

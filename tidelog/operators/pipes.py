@@ -178,7 +178,7 @@ def _unpacked(log: Log, found: Column, prefix: str, later) -> Log:
 def unpack_json(log: Log, a: dict, later) -> Log:
     text = log.text(_target(log, a))
     # numbers keep their spelling; where the quotes put around them break the text, it is read as it stands
-    spelled = F.regexp_replace(text, r"(:\s*)(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?=\s*[,}])", '$1"$2"')
+    spelled = F.regexp_replace(text, r'((?<!\\)"\s*:\s*)(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?=\s*[,}])', '$1"$2"')
     found = F.coalesce(F.from_json(spelled, "map<string,string>"), F.from_json(text, "map<string,string>"))
     return _unpacked(log, F.transform_values(found, lambda _, v: F.coalesce(v, F.lit(""))), a["prefix"], later)
 

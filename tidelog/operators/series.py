@@ -58,7 +58,7 @@ def stats_range(log: Log, query: Query, step_ns: int, start_ns: int) -> DataFram
     node = _stats_of(query)
     left = run(log, Query(query.filter, query.pipes[:-1]))
     ns = left.ns()
-    bucket = F.lit(start_ns) + F.floor((ns - F.lit(start_ns)) / F.lit(step_ns)).cast("bigint") * F.lit(step_ns)
+    bucket = F.lit(start_ns) + (ns - F.lit(start_ns) - F.pmod(ns - F.lit(start_ns), F.lit(step_ns)))
     return stats(left, node.args["by"], node.args["aggs"], step_ns / 1e9, {"bucket_ns": bucket})
 
 

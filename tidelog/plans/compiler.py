@@ -53,11 +53,15 @@ def run(log: Log, query: Query | str, now_ns: int | None = None) -> Log:
 
 def query(log: Log, text: str, now_ns: int | None = None) -> DataFrame:
     """The result of a query text."""
-    df = run(log, text, now_ns).df
-    return df.drop(*[n for n in df.columns if n.startswith(HIDDEN)])
+    return shown(run(log, text, now_ns))
+
+
+def shown(log: Log) -> DataFrame:
+    """The rows without the columns that carry their order."""
+    return log.df.drop(*[n for n in log.df.columns if n.startswith(HIDDEN)])
 
 
 def recent(log: Log, text: str, n: int, now_ns: int | None = None) -> DataFrame:
     """The n newest rows of a result that still has its time, newest first."""
     out = run(log, text, now_ns)
-    return out.df.orderBy(F.desc(out.time), *out.order_columns(desc=True)).limit(n)
+    return shown(out.at(out.df.orderBy(F.desc(out.time), *out.order_columns(desc=True)).limit(n)))

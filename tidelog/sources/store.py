@@ -7,14 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import utc
+from tidelog.functions.text import utc, whole_units
 
 ROWS_PER_FILE = 8_000_000
 
 
 def write(df: DataFrame, path: str, mode: str = "append") -> None:
     """Adds rows (``_time_ns`` is their time) under the day's folder; tasks take ranges of time, so a busy hour is spread over several."""
-    day = F.date_format(utc(F.floor(F.col("_time_ns") / 10**9)), "yyyy-MM-dd")
+    day = F.date_format(utc(whole_units(F.col("_time_ns"), 10**9)), "yyyy-MM-dd")
     dealt = df.withColumn("_date", day).repartitionByRange("_date", "_time_ns")
     dealt.sortWithinPartitions("_date", "_time_ns").write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "zstd").partitionBy("_date").parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidelog.functions.predicates import condition
-from tidelog.functions.text import utc
+from tidelog.functions.text import utc, whole_units
 from tidelog.log import Log
 from tidelog.plans.compiler import run
 from tidelog.plans.language import parse
@@ -26,7 +26,7 @@ def tail(spark: SparkSession, path: str, schema, text: str, from_ns: int | None
 
 def ingest(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream of records to a store, a day's folder each."""
-    day = F.date_format(utc(F.floor(F.col("_time_ns") / 10**9)), "yyyy-MM-dd")
+    day = F.date_format(utc(whole_units(F.col("_time_ns"), 10**9)), "yyyy-MM-dd")
     return records.withColumn("_date", day).writeStream.format("parquet").partitionBy("_date").option("checkpointLocation", checkpoint).start(path)
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import number_text, utc
+from tidelog.functions.text import number_text, utc, whole_units
 from tidelog.log import EXTRA, Log
 
 
 def rfc3339(ns: Column) -> Column:
     """Nanoseconds as UTC text without trailing zeros of the fraction; whatever the session's zone."""
-    whole = F.date_format(utc(F.floor(ns / F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss")
+    whole = F.date_format(utc(whole_units(ns, 10**9)), "yyyy-MM-dd'T'HH:mm:ss")
     fraction = F.regexp_replace(F.lpad(F.pmod(ns, F.lit(10**9)).cast("string"), 9, "0"), "0+$", "")
     return F.concat(whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")), F.lit("Z"))
 
@@ -41,8 +41,10 @@ def hits(df: DataFrame, by: str | None = None) -> DataFrame:
     points = F.array_sort(F.collect_list(F.struct("bucket_ns", "t", "hits")))
     series = own.groupBy("label").agg(points.alias("p"), F.sum("hits").alias("total"))
     fields = F.when(F.col("label") != "", F.create_map(F.lit(by or ""), F.col("label"))).otherwise(F.create_map().cast("map<string,string>"))
-    item = F.struct((-F.col("total")).alias("o"), "label", F.struct(fields.alias("fields"), F.transform("p", lambda x: x["t"]).alias("timestamps"), F.transform("p", lambda x: x["hits"]).alias("values"), "total").alias("v"))
-    return series.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item.alias("i"))), lambda x: x["v"]).alias("hits"))).alias("value"))
+    # maps have no order: a series is text before it is sorted
+    item = F.struct((-F.col("total")).alias("o"), "label", F.to_json(F.struct(fields.alias("fields"), F.transform("p", lambda x: x["t"]).alias("timestamps"), F.transform("p", lambda x: x["hits"]).alias("values"), "total")).alias("v"))
+    items = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]))
+    return series.agg(F.concat(F.lit('{"hits":['), items, F.lit("]}")).alias("value"))
 
 
 def _sample(labels: Column, name: Column) -> Column:
@@ -65,7 +67,7 @@ def matrix(df: DataFrame, by: tuple[str, ...], aggregates: tuple[str, ...]) -> D
     rows = df.select("bucket_ns", labels.alias("labels"), F.inline(items)).withColumn("l", F.to_json("labels"))
     points = F.array_sort(F.collect_list(F.struct("bucket_ns", "value")))
     series = rows.groupBy("l", "name").agg(F.any_value("labels").alias("labels"), points.alias("p"))
-    values_ = F.transform("p", lambda x: F.array(F.floor(x["bucket_ns"] / 10**9).cast("bigint").cast("string"), x["value"]))
+    values_ = F.transform("p", lambda x: F.array(whole_units(x["bucket_ns"], 10**9).cast("string"), x["value"]))
     return _envelope(series.select(F.struct(_sample(F.col("labels"), F.col("name")).alias("metric"), values_.alias("values")).alias("r"), "name", "l"), "matrix")
 
 
