@@ -93,20 +93,21 @@ def _unpacked(data: bytes, kind: str, count: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    """Tokenised documents: ids, whether held out, sizes and codes; the block's words by hash with their training counts."""
-    schema = "block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, words array<string>, counts array<int>"
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    """Tokenised documents: ids, whether held out, sizes and codes; the block's words by hash, their hashes and training counts."""
+    schema = "block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, words array<string>, hashes binary, counts array<int>"
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int32())]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def made(shard: int, number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.Table.from_batches(parts)
-        codes, sizes, words, _ = _tokens(part)
+        codes, sizes, words, hashes = _tokens(part)
         held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
         counts = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words))
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         columns = [
             pa.array([(shard << 24) + number]), one(part.column("id").combine_chunks()), one(pa.array(held)), one(pa.array(sizes.astype(np.int32))),
-            pa.array([_packed(codes.astype("<i4"))], pa.binary()), one(words), one(pa.array(counts.astype(np.int32))),
+            pa.array([_packed(codes.astype("<i4"))], pa.binary()), one(words),
+            pa.array([hashes.astype("<u8").tobytes()], pa.binary()), one(pa.array(counts.astype(np.int32))),
         ]
         return pa.record_batch([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -143,7 +144,7 @@ def _scattered(made: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 words, counts = batch.column("words")[k].values, batch.column("counts")[k].values
-                bucket = (hash_words(words.to_pylist(), 3) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                bucket = (np.frombuffer(batch.column("hashes")[k].as_buffer(), "<u8") >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 found, first = np.unique(bucket, return_index=True)
                 offsets = pa.array(np.concatenate([first, [len(words)]]).astype(np.int32))
                 yield pa.record_batch(
@@ -151,7 +152,7 @@ def _scattered(made: DataFrame, buckets: int) -> DataFrame:
                     names=["bucket", "block", "words", "counts"],
                 )
 
-    return made.select("block", "words", "counts").mapInArrow(run, "bucket int, block long, words array<string>, counts array<int>")
+    return made.select("block", "words", "hashes", "counts").mapInArrow(run, "bucket int, block long, words array<string>, counts array<int>")
 
 
 def bands(totals: np.ndarray) -> np.ndarray:
@@ -178,9 +179,11 @@ def totals(made: DataFrame, top: int) -> DataFrame:
         total = np.bincount(codes, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
         names = np.array(coded.dictionary.to_pylist(), dtype=object)
-        best = np.lexsort((names, -total))[:top] if len(names) else np.empty(0, np.int64)
-        best = best[total[best] > 0]
         known = total > 0
+        # the most frequent ones: those below the last place's count needn't be sorted
+        least = np.partition(total, len(total) - top)[len(total) - top] if len(total) > top else 0
+        best = np.flatnonzero(known & (total >= least))
+        best = best[np.lexsort((names[best], -total[best]))][:top]
         one, two = cells(hash_words(names[known].tolist(), 3))
         masses = np.bincount((bands(total[known]) * WIDTH + one) * WIDTH + two, weights=total[known] + 1, minlength=BANDS * WIDTH * WIDTH).astype(np.int64)
         n = table.num_rows
@@ -259,15 +262,18 @@ class Model:
             return (history & np.uint64(ROOT_FEATURES - 1)).astype(np.uint16)
         return (mix(history[:, :count] ^ (nodes.astype(np.uint64)[:, None] << np.uint64(20)), 6) & np.uint64(NODE_FEATURES - 1)).astype(np.uint16)
 
-    def chances(self, at: np.ndarray, nodes: np.ndarray | None) -> np.ndarray:
-        """Softmax over a step's outcomes."""
+    def chances(self, at: np.ndarray, nodes: np.ndarray | None, chosen: np.ndarray | None = None) -> np.ndarray:
+        """Softmax over a step's outcomes, or the chance of the chosen ones."""
         table = self.root if nodes is None else self.node
         out = table.take(at[:, 0], axis=0)
         for k in range(1, at.shape[1]):
             out += table.take(at[:, k], axis=0)
         out += self.bias[0] if nodes is None else self.bias.take(nodes, axis=0)
         np.exp(np.minimum(out, 60, out=out), out=out)
-        out *= (1 / (out @ _ONES))[:, None]
+        whole = out @ _ONES
+        if chosen is not None:
+            return out[np.arange(len(out)), chosen] / whole
+        out *= (1 / whole)[:, None]
         return out
 
     def update(self, at: np.ndarray, nodes: np.ndarray | None, gradient: np.ndarray) -> None:
@@ -298,6 +304,16 @@ def _row_sums(rows: np.ndarray, source: np.ndarray, first: np.ndarray, short: in
     return out
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Blocks with their lists as arrays."""
+    for k in range(batch.num_rows):
+        row = {n: batch.column(n)[k] for n in batch.schema.names}
+        out = {"block": row["block"].as_py(), "codes": row["codes"].as_py(), "hashes": row["hashes"].as_py()}
+        for n in ("sizes", "totals", "held"):
+            out[n] = row[n].values.to_numpy(zero_copy_only=False)
+        yield out | ({"ids": row["ids"].values} if "ids" in row else {})
+
+
 def train_block(model: Model, row: dict) -> int:
     """Updates the model in place over the block's training documents; returns their tokens."""
     codes, (*levels, _) = model.steps(row)
@@ -352,7 +368,7 @@ def train(made: DataFrame, model: Model, epochs: int = EPOCHS, rounds: int = ROU
             import copy
 
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     own = copy.copy(shared.value)
                     own.root, own.node, own.root_seen, own.node_seen = (x.copy() for x in (own.root, own.node, own.root_seen, own.node_seen))
                     if not train_block(own, row):
@@ -396,8 +412,8 @@ def score_block(model: Model, row: dict) -> tuple[np.ndarray, ...]:
                 own, of = batch[of >= 0], of[of >= 0]
                 if not len(own):
                     continue
-            chance = model.chances(model.features(history[own], of, count), of)
-            logs[own] += np.log(np.maximum(chance[np.arange(len(own)), children[codes[own]]], 1e-30))
+            chance = model.chances(model.features(history[own], of, count), of, children[codes[own]])
+            logs[own] += np.log(np.maximum(chance, 1e-30))
     return np.diff(offsets), segment_sums((counts > 0)[codes].astype(np.int64), offsets), segment_sums(base, offsets) / math.log(10), segment_sums(logs, offsets) / math.log(10)
 
 
@@ -418,16 +434,7 @@ def counted(docs: DataFrame, held_out: Column, id_col: str, text_col: str, scrat
     lists = found.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("b"))
     lists = lists.select("block", F.flatten(F.transform("b", lambda x: x["counts"])).alias("totals"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                hashes = hash_words(row.column("words")[0].values.to_pylist(), 3).astype("<u8").tobytes()
-                yield pa.record_batch([*(row.column(n) for n in ("block", "ids", "held", "sizes", "codes")), pa.array([hashes], pa.binary()), row.column("totals")], names=["block", "ids", "held", "sizes", "codes", "hashes", "totals"])
-
-    joined = made.select("block", "ids", "held", "sizes", "codes", "words").join(lists, "block")
-    with _rows_per_batch(spark, 2):
-        out = scratch.keep(joined.mapInArrow(hashed, "block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, hashes binary, totals array<long>"), "counted")
+    out = scratch.keep(made.select("block", "ids", "held", "sizes", "codes", "hashes").join(lists, "block"), "counted")
     scratch.drop(scratch.paths[-1])
     return out, model
 
@@ -442,11 +449,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 tokens, known, base, own = score_block(shared.value, row)
                 n = len(tokens)
                 yield pa.record_batch(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(n, shared.value.tokens, np.int64)), pa.array(base), pa.array(own)],
+                    [row["ids"], pa.array(row["held"], pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(n, shared.value.tokens, np.int64)), pa.array(base), pa.array(own)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
