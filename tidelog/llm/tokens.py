@@ -11,6 +11,7 @@ space), and a text that holds one of the vocabulary's special tokens, is encoded
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -55,6 +56,8 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Finds a special token; its letters may be written in any case.
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
+        #: What all of them begin with, as far as it has no letter: most texts don't hold it.
+        self.hint = re.match(r"[\W_]*", os.path.commonprefix(added))[0]
         #: Which ids begin a word with its space, or else end a word.
         self.begins = not any(t.endswith("</w>") for t in tokens)
         self.marked = np.zeros(max(tokens.values()) + 1, bool)
@@ -62,8 +65,6 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path not in cls._of:
             cls._of[path] = cls(path)
@@ -128,7 +129,7 @@ class Encoder:
         rare = _odd.search("".join(set("".join(t for t in texts if t))))
         for k, text in enumerate(texts):
             if text:
-                own = [text] if rare and _odd.search(text) or self.special(text) else _chunk.findall(text)
+                own = [text] if rare and _odd.search(text) or self.hint in text and self.special(text) else _chunk.findall(text)
                 counts[k] = len(own)
                 chunks += own
         coded = pa.array(chunks, pa.large_string()).dictionary_encode()
