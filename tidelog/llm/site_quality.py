@@ -107,25 +107,37 @@ def likelihood_root(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.
 def word_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """How many labelled documents that are not toxic (0), and toxic ones (1), there are, and how many of them hold each hashed word."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.coalesce(F.col("toxic").cast("int"), F.lit(0))).alias("toxic"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(known, "_id").select("text", (F.col("toxic") > 0).alias("toxic"))
+    kind = np.min_scalar_type(WORDS - 1).newbyteorder("<")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        documents, held = np.zeros(2, np.int64), np.zeros((2, WORDS), np.int64)
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 flat, offsets = split_words(part.column("text"))
                 coded = flat.dictionary_encode()
                 word = hashed(coded.dictionary)[np.asarray(coded.indices, np.int64)]
+                pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(offsets)) * WORDS + word)
+                ends = np.searchsorted(pairs, np.arange(part.num_rows + 1) * WORDS) * kind.itemsize
+                buffers = [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer((pairs % WORDS).astype(kind).tobytes())]
+                yield pa.record_batch([part.column("_id"), pa.Array.from_buffers(pa.binary(), part.num_rows, buffers)], names=["_id", "words"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, held = np.zeros(2, np.int64), np.zeros((2, WORDS), np.int64)
+        for batch in batches:
+            for part in slices(batch, "words"):
+                own = part.column("words").to_pylist()
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
                 documents += np.bincount(toxic, minlength=2)
-                pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(offsets)) * WORDS + word)
-                np.add.at(held, (toxic[pairs // WORDS], pairs % WORDS), 1)
+                size = np.fromiter(map(len, own), np.int64, len(own)) // kind.itemsize
+                np.add.at(held, (np.repeat(toxic, size), np.frombuffer(b"".join(own), kind)), 1)
         # word -1 stands for the documents themselves
         used = np.flatnonzero(held.any(axis=0))
         yield pa.record_batch([pa.array(np.concatenate([[-1], used])), *(pa.array(np.concatenate([[documents[k]], held[k][used]])) for k in (0, 1))], names=["word", "clean", "toxic"])
 
+    # the hashed words of a text move to its label, not the text; labels grow with the corpus: the same join at every size
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).where("_id is not null")
+    labelled = texts.mapInArrow(distinct_words, "_id long, words binary").join(known.hint("merge"), "_id").select("words", (F.col("toxic") > 0).alias("toxic"))
     # one row for each hashed word: WORDS + 1 at most
-    found = texts.mapInArrow(count, "word long, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    found = labelled.mapInArrow(count, "word long, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     words, out = np.asarray(found.column("word"), np.int64), np.zeros((2, WORDS + 1), np.int64)
     for k, name in enumerate(("clean", "toxic")):
         out[k][words] = np.asarray(found.column(name), np.int64)
