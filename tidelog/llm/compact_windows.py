@@ -328,7 +328,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a span for each passage of a document and each earlier holder that is first in a group
     lists = found.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(spans_)).toDF(id_, hash_, spans_)
     marked = docs.withColumn(hash_, F.xxhash64(F.col(f"`{text_col}`").cast("string"))).withColumn(id_, F.col(f"`{id_col}`").cast("long"))
-    marked = marked.join(lists, [id_, hash_], "left").select(*[f"`{n}`" for n in docs.columns], spans_)
+    # the lists grow with the corpus: the same join at every size
+    marked = marked.join(lists.hint("merge"), [id_, hash_], "left").select(*[f"`{n}`" for n in docs.columns], spans_)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
