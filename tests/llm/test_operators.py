@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -132,6 +133,69 @@ def test_media(docs):
     assert got[0].feature == got[63].feature and got[0].media_sha256 == got[63].media_sha256
 
 
+    for r in rows():
+        table = audio.read_windows(got[r[0]].windows)
+        kind = table.schema.field("log_mel").type
+        assert kind.shape == [audio.WINDOW, audio.MELS] and table.num_rows == int(got[r[0]].feature.split(":")[2])
+        start, end = table.column("start_ms").to_pylist(), table.column("end_ms").to_pylist()
+        # the spans cover the payload without gaps
+        assert start[0] == 0 and start[1:] == pytest.approx(end[:-1]) and end[-1] == pytest.approx(got[r[0]].payload_bytes / 16)
+        assert all(0 <= s.start_ms < s.end_ms for s in got[r[0]].spans)
+    assert audio.read_windows(got[65].windows).num_rows > 20
+
+
+@pytest.mark.parametrize("up, down", [(3, 4), (1, 2), (2, 1), (5, 3)])
+def test_resampler(up, down):
+    samples = np.random.default_rng(up).integers(0, 256, 301, np.uint8)
+    phases = audio.polyphase_filter(up, down)
+    size = phases.shape[1]
+    # zeros between the samples, the whole filter at the high rate, then every ``down``th value
+    whole = np.zeros(up * size)
+    for p in range(up):
+        whole[p::up] = phases[p][::-1]
+    high = np.zeros((len(samples) + size) * up)
+    high[: len(samples) * up : up] = (samples.astype(float) - 128) / 128
+    smooth = np.convolve(high, whole)
+    want = [smooth[k * down + (size - size // 2 - 1) * up] for k in range(-(-len(samples) * up // down))]
+    got = audio.resample(samples, up, down)
+    assert got == pytest.approx(np.array(want), abs=1e-5)
+    assert audio.resample(samples, up, down, 7, 50) == pytest.approx(got[7:50], abs=1e-6)
+
+
+def test_tones():
+    """A tone's log-mel frames peak in the band that holds it; frames do not depend on the pieces."""
+    rate = audio.RATE * audio.UP / audio.DOWN
+    bank = audio.mel_bank(rate)
+    for hertz in (400, 1000, 2500, 4500):
+        tone = np.round(128 + 90 * np.sin(2 * np.pi * hertz * np.arange(40000) / audio.RATE)).astype(np.uint8)
+        mel, energy = audio.log_mel(tone, rate)
+        assert len(mel) == audio.frame_count(30000)
+        assert abs(int(np.median(mel[2:-2].argmax(axis=1))) - int(bank[round(hertz * audio.FRAME / rate)].argmax())) <= 1
+        assert np.ptp(energy[2:-2]) < 1
+
+
+def test_pieces(monkeypatch):
+    samples = np.random.default_rng(1).integers(0, 256, 70000, np.uint8)
+    whole = audio.log_mel(samples, 12000)
+    monkeypatch.setattr(audio, "PIECE", 64)
+    for a, b in zip(whole, audio.log_mel(samples, 12000), strict=True):
+        assert a == pytest.approx(b, abs=1e-3)
+
+
+def test_segments():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        energy = np.round(rng.normal(0, 1, int(rng.integers(1, 60))), 2)
+        level, want, opened = np.round(energy - np.median(energy), 3), [], None
+        for k, x in enumerate([*level, -99]):
+            if opened is None and x >= audio.OPEN_DB:
+                opened = k
+            elif opened is not None and x < audio.CLOSE_DB:
+                want += [(opened, k)] if k - opened >= audio.MIN_FRAMES else []
+                opened = None
+        assert audio.segments(energy) == want
+
+
 def test_languages(docs):
     got = by_id(langid.identify(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0))
     assert [got[k].lang_pred for k in (60, 61, 62)] == ["und"] * 3

@@ -2,18 +2,21 @@
 
 A payload is stored without loss as a WAV file of unsigned 8-bit samples in a binary media column.  Features come
 from the stored bytes: a polyphase FIR resampler brings the samples to the analysis rate, overlapped Hann windows
-go through a mel filterbank, the log-mel frames are averaged into a tensor of fixed shape, and hysteresis on the
-frames' energy (one threshold to open a segment, a lower one to close it) gives time spans.  Each item is
-processed alone and in pieces that start at fixed places, so equal payloads give equal values.
-
-Nulls and edge cases: a null or empty text is a payload of 64 zero bytes; equal rows give equal rows; an empty
-table gives an empty result; other columns are ignored.
+go through a mel filterbank, the log-mel frames are cut into windows of fixed shape, each with its time span, and
+hysteresis on the frames' energy (one threshold to open a segment, a lower one to close it) gives the segments'
+spans.  A payload's windows are stored as Arrow fixed-shape tensors, an IPC stream in a binary column.  Each item
+is processed alone and in pieces that start at fixed places, so equal payloads give equal values.
+
+Nulls and edge cases: a null or empty text is a payload of 64 zero bytes; a very long text is one row with as many
+windows as it needs, resampled a piece at a time; equal rows give equal rows; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,14 +29,21 @@ from pyspark.sql import functions as F
 from tidelog.llm.scratch import Scratch
 from tidelog.llm.textops import slices
 
-RATE, UP, DOWN = 16_000, 1, 2
+#: Stored rate, and the resampler's ratio: 12 kHz are analysed.
+RATE, UP, DOWN = 16_000, 3, 4
 BLOCK = 64
 FRAME, HOP, MELS = 256, 128, 24
-#: Shape of the tensor: time bins by mel bands.
+#: Shape of a tensor: frames of a window by mel bands.
+WINDOW = 64
+#: Frames resampled and transformed at a time: whole windows.
+PIECE = 32 * WINDOW
+#: Time bins of the digest.
 TIME_BINS = 8
 TAPS = 16
 #: Decibels over the median frame that open a segment, and below which it closes; shortest segment in frames.
 OPEN_DB, CLOSE_DB, MIN_FRAMES = 0.75, 0.0, 2
+#: Added to the power before its logarithm, and so the value of frames past the payload's end.
+FLOOR = 1e-6
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -69,7 +79,7 @@ def from_wav(media: bytes) -> tuple[int, bytes]:
 
 @functools.cache
 def polyphase_filter(up: int, down: int, taps: int = TAPS) -> np.ndarray:
-    """One row of ``taps`` coefficients for each phase of a Hamming-windowed low-pass."""
+    """One row of coefficients for each phase of a Hamming-windowed low-pass."""
     n = up * taps * max(1, down // up)
     t = np.arange(n) - (n - 1) / 2
     h = np.sinc(t / max(up, down)) * np.hamming(n)
@@ -77,21 +87,24 @@ def polyphase_filter(up: int, down: int, taps: int = TAPS) -> np.ndarray:
     return h.reshape(-1, up).T[:, ::-1].astype(np.float32).copy()
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """x at up/down times its rate: output k takes phase k * down mod up of the filter, around sample k * down // up."""
+def resample(samples: np.ndarray, up: int = UP, down: int = DOWN, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Outputs start to stop of 8-bit samples at up/down (in lowest terms) times their rate.
+
+    Output k takes phase ``k * down % up`` of the filter around sample ``k * down // up``; samples outside are silence.
+    """
     phases = polyphase_filter(up, down)
     size = phases.shape[1]
-    padded = np.concatenate([np.zeros(size // 2, np.float32), x, np.zeros(size, np.float32)])
-    out = np.empty(-(-len(x) * up // down), np.float32)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, size)
-    for phase in range(up):
-        k = np.flatnonzero(np.arange(up) * down % up == phase)
-        if len(k):
-            at = np.arange(int(k[0]), len(out), up)
-            for low in range(0, len(at), 1 << 15):
-                own = at[low : low + (1 << 15)]
-                first = int(own[0]) * down // up
-                out[own] = windows[first :: down][: len(own)] @ phases[phase] if up == 1 else windows[own * down // up] @ phases[phase]
+    stop = -(-len(samples) * up // down) if stop is None else stop
+    first, last = start * down // up, (stop - 1) * down // up
+    low, high = first - size // 2, last - size // 2 + size
+    held = samples[max(low, 0) : high]
+    part = np.zeros(high - low, np.float32)
+    part[max(low, 0) - low :][: len(held)] = (held.astype(np.float32) - 128) / 128
+    windows = np.lib.stride_tricks.sliding_window_view(part, size)
+    out = np.empty(stop - start, np.float32)
+    for k in range(start, min(start + up, stop)):
+        own = out[k - start :: up]
+        own[:] = np.ascontiguousarray(windows[k * down // up - first :: down][: len(own)]) @ phases[k * down % up]
     return out
 
 
@@ -109,19 +122,26 @@ def mel_bank(rate: float, frame: int = FRAME, mels: int = MELS) -> np.ndarray:
 _window = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
-def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel frames (half-overlapped, the last one zero-padded) and each frame's energy in decibels."""
-    count = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    padded = np.zeros((count - 1) * HOP + FRAME, np.float32)
-    padded[: len(x)] = x
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
+def frame_count(size: int) -> int:
+    """Half-overlapped frames that cover so many samples, the last one zero-padded."""
+    return max(1, -(-(size - FRAME) // HOP) + 1)
+
+
+def log_mel(samples: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel frames of the resampled samples and each frame's energy in decibels, PIECE frames at a time."""
+    size = -(-len(samples) * UP // DOWN)
+    count = frame_count(size)
     mel, energy = np.empty((count, MELS), np.float32), np.empty(count, np.float32)
-    for at in range(0, count, 2048):
-        part = frames[at : at + 2048] * _window
+    for at in range(0, count, PIECE):
+        stop = min(count, at + PIECE)
+        x = np.zeros((stop - at - 1) * HOP + FRAME, np.float32)
+        made = resample(samples, UP, DOWN, at * HOP, min(size, at * HOP + len(x)))
+        x[: len(made)] = made
+        part = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _window
         spectrum = np.fft.rfft(part, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        mel[at : at + 2048] = np.log10(power @ mel_bank(rate) + 1e-6)
-        energy[at : at + 2048] = 10 * np.log10((part**2).mean(axis=1) + 1e-9)
+        mel[at:stop] = np.log10(power @ mel_bank(rate) + FLOOR)
+        energy[at:stop] = 10 * np.log10((part**2).mean(axis=1) + 1e-9)
     return mel, energy
 
 
@@ -135,14 +155,38 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= MIN_FRAMES]
 
 
-def describe(samples: bytes, rate: int) -> tuple[np.ndarray, list[tuple[float, float]]]:
-    """The tensor (TIME_BINS, MELS), and the segments' spans in milliseconds."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = log_mel(resample(x), rate * UP / DOWN)
-    edges = np.arange(TIME_BINS + 1) * len(mel) / TIME_BINS
-    tensor = np.stack([mel[int(a) : max(int(a) + 1, int(np.ceil(b)))].mean(axis=0) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+KIND = pa.fixed_shape_tensor(pa.float32(), [WINDOW, MELS], dim_names=["time", "mel"])
+WINDOWS = pa.schema([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("log_mel", KIND)])
+
+
+def store_windows(mel: np.ndarray, step: float, length: float) -> bytes:
+    """An IPC stream with a row for each WINDOW frames: span in milliseconds and tensor.  Past the last frame is the floor."""
+    count = -(-len(mel) // WINDOW)
+    padded = np.full((count * WINDOW, MELS), math.log10(FLOOR), np.float32)
+    padded[: len(mel)] = mel
+    tensors = pa.ExtensionArray.from_storage(KIND, pa.FixedSizeListArray.from_arrays(pa.array(padded.ravel()), WINDOW * MELS))
+    starts = np.arange(count) * (WINDOW * step)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, WINDOWS) as out:
+        out.write_batch(pa.record_batch([pa.array(starts), pa.array(np.minimum(starts + WINDOW * step, length)), tensors], schema=WINDOWS))
+    return sink.getvalue().to_pybytes()
+
+
+def read_windows(stored: bytes) -> pa.Table:
+    """start_ms, end_ms, log_mel (fixed-shape tensors) of a stored column's value."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
+def describe(samples: bytes, rate: int) -> tuple[bytes, list[tuple[float, float]], str]:
+    """The stored windows, the segments' spans in milliseconds and the digest."""
+    mel, energy = log_mel(np.frombuffer(samples, np.uint8), rate * UP / DOWN)
     step = HOP * 1000 * DOWN / (rate * UP)
-    return tensor, [(a * step, b * step) for a, b in segments(energy)]
+    found = segments(energy)
+    edges = np.arange(TIME_BINS + 1) * len(mel) / TIME_BINS
+    means = np.stack([mel[int(a) : max(int(a) + 1, int(np.ceil(b)))].mean(axis=0) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    # log-mel means of the time bins in steps of 1/32 decade from the floor on, one byte each, then the numbers of segments and windows
+    digest = f"{np.clip(np.round((means + 6) * 32), 0, 255).astype(np.uint8).tobytes().hex()}:{len(found)}:{-(-len(mel) // WINDOW)}"
+    return store_windows(mel, step, len(samples) * 1000 / rate), [(a * step, b * step) for a, b in found], digest
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,39 +205,27 @@ SPANS = "array<struct<start_ms:double,end_ms:double>>"
 
 
 def features(media: DataFrame) -> DataFrame:
-    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, tensor, spans and a digest (feature) from stored media."""
-    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensor array<float>, spans {SPANS}, feature string"
+    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, windows, spans and a digest (feature) from stored media."""
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, windows binary, spans {SPANS}, feature string"
     kind = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "media"):
-                rows, tensors, spans, texts = [], [], [], []
+                rows, windows, spans, digests = [], [], [], []
                 for held in part.column("media").to_pylist():
                     rate, samples = from_wav(held)
-                    tensor, found = describe(samples, rate)
-                    tensors.append(tensor), spans.append([{"start_ms": a, "end_ms": b} for a, b in found])
-                    # log-mel in steps of 1/32 decade from 1e-6 on, one byte each, then the number of segments
-                    texts.append(f"{np.clip(np.round((tensor + 6) * 32), 0, 255).astype(np.uint8).tobytes().hex()}:{len(found)}")
+                    stored, found, digest = describe(samples, rate)
+                    windows.append(stored), digests.append(digest), spans.append([{"start_ms": a, "end_ms": b} for a, b in found])
                     rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(held), hashlib.sha256(held).hexdigest()))
-                # the tensors' storage is a list of fixed size, as fixed_shape() reads it
-                flat = pa.array(np.stack(tensors).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TIME_BINS * MELS), flat)
                 columns = [pa.array(c) for c in zip(*rows, strict=True)]
-                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), *columns, lists, pa.array(spans, kind), pa.array(texts)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensor", "spans", "feature"])
+                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), *columns, pa.array(windows, pa.binary()), pa.array(spans, kind), pa.array(digests)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "windows", "spans", "feature"])
 
     return media.mapInArrow(run, schema)
 
 
-def fixed_shape(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """The tensor column as Arrow's fixed-shape tensor type."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    kind = pa.fixed_shape_tensor(pa.float32(), [TIME_BINS, MELS], dim_names=["time", "mel"])
-    storage = pa.FixedSizeListArray.from_arrays(column.flatten().cast(pa.float32()), TIME_BINS * MELS)
-    return pa.ExtensionArray.from_storage(kind, storage)
-
-
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores the media column in the shared folder, reads it back and returns its features."""
+    """Stores the media column in the shared folder, reads it back, and returns its features as they are stored in their turn."""
     scratch = Scratch(docs.sparkSession, "audio")
-    return features(scratch.keep(media_column(docs, id_col, text_col), "media"))
+    media = scratch.keep(media_column(docs, id_col, text_col), "media")
+    return scratch.finish(features(media), "features")
