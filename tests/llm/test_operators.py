@@ -182,6 +182,14 @@ def test_pieces(monkeypatch):
         assert a == pytest.approx(b, abs=1e-3)
 
 
+def test_stored_windows():
+    mel = np.random.default_rng(3).normal(0, 2, (150, audio.MELS)).astype(np.float32)
+    table = audio.read_windows(audio.store_windows(mel, 10.0, 1501.0))
+    assert table.column("start_ms").to_pylist() == [0, 640, 1280] and table.column("end_ms").to_pylist() == [640, 1280, 1501]
+    held = table.column("log_mel").combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+    assert held[:150].astype(np.float32) == pytest.approx(mel, rel=1e-3, abs=1e-3) and (held[150:] == -6).all()
+
+
 def test_segments():
     rng = np.random.default_rng(2)
     for _ in range(50):
