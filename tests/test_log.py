@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -174,3 +175,17 @@ def test_window_reaches_the_scan(spark):
 
 def test_metrics_text():
     assert wire.metrics({"rows": ("Rows stored.", "gauge", 3)}) == "# HELP tidelog_rows Rows stored.\n# TYPE tidelog_rows gauge\ntidelog_rows 3\n"
+
+
+def _times(spark, rows):
+    df = spark.range(0, rows, 1, 1).select(F.col("id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id div 3)").alias("ts"), F.lit("x").alias("kind"))
+    return Log(df, time="ts", order=("ts", "id"))
+
+
+def test_context_looks_up_ranges_by_search(spark):
+    # a row's range takes some comparisons, not one with each bound; a match without a time is found too
+    began = time.monotonic()
+    assert sorted(r.id for r in query(_times(spark, 150_000), "id:=0 OR id:=75000 | stream_context before 2 after 1").collect()) == [0, 1, 74998, 74999, 75000, 75001]
+    assert time.monotonic() - began < 30
+    log = logs(spark, [(None, "none", "x", "0"), (1, "one", "x", "1"), (2, "two", "x", "2"), (3, "three", "x", "3")])
+    assert sorted(r.b for r in query(log, "b:=0 | stream_context before 1 after 1").collect()) == ["0", "1"]

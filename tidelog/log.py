@@ -73,6 +73,12 @@ class Log:
         c, kind = F.col(f"`{self.time}`"), self.types[self.time]
         return c if kind == "bigint" else epoch_micros(c, kind) * 1000
 
+    def order_keys(self) -> list[tuple[Column, bool]]:
+        """Expressions and directions of the order that holds."""
+        if self.ranked:
+            return list(self.ranked)
+        return [(F.col(f"`{n}`"), False) for n in (self.order or ((self.time,) if self.time else ())) if self.has(n)]
+
     def order_columns(self, desc: bool = False) -> list[Column]:
         if self.ranked:
             return [(c.asc_nulls_first() if desc else c.desc_nulls_last()) if down else (c.desc_nulls_first() if desc else c.asc_nulls_last()) for c, down in self.ranked]

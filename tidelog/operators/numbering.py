@@ -2,53 +2,106 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import epoch_micros
 from tidelog.log import Log
 
-#: Ranges that the rows are parted into, and the error of their bounds.
-RANGES = 256
+#: Ranges that the rows are parted into, at least and at most, and the rows of one where there are more than the least.
+RANGES, MOST_RANGES, RANGE_ROWS = 256, 4096, 250_000
+#: Rows drawn to place the bounds of the ranges; the characters of a text that a bound holds.
+DRAWN, PREFIX = 20_000, 256
+
+
+def _comparable(order: list[tuple[Column, bool]], df: DataFrame) -> list[tuple[Column, str, bool]]:
+    """Keys of plain types that never fall where the order rises, with their type and direction.
+
+    A long text counts by its first characters; the keys behind it then say nothing, nor do those behind other types.
+    """
+    made, whole = [], F.lit(True)
+    kinds = df.select(*[c.alias(f"c{k}") for k, (c, _) in enumerate(order)]).dtypes
+    for (c, down), (_, kind) in zip(order, kinds, strict=True):
+        if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
+            c, kind = c.cast("bigint"), "bigint"
+        elif kind in ("float", "double"):
+            c, kind = c.cast("double"), "double"
+        elif kind in ("timestamp", "date"):
+            c, kind = epoch_micros(c, kind), "bigint"
+        elif kind == "timestamp_ntz":
+            # a difference is one subtraction; no zone takes part
+            c, kind = c - F.lit("1970-01-01").cast(kind), "interval day to second"
+        elif kind != "string" and not kind.startswith("decimal"):
+            break
+        longer = F.coalesce(F.length(c) > PREFIX, F.lit(False)) if kind == "string" else None
+        made.append((F.when(whole, F.substring(c, 1, PREFIX) if kind == "string" else c), kind, down))
+        if longer is not None:
+            made.append((F.when(whole, longer.cast("bigint")), "bigint", down))
+            whole = whole & ~longer
+    return made
+
+
+def _bounds(rows: DataFrame, keys: list[tuple[Column, str, bool]], nulls_last: bool) -> list[tuple]:
+    """Ascending keys, near to equally many rows apart: those of rows drawn at random, which part the ranges and decide nothing else."""
+    drawn = rows.select(*[c.alias(f"k{n}") for n, (c, _, _) in enumerate(keys)], F.rand(42).alias("r")).orderBy("r").limit(DRAWN).collect()
+    if not drawn:
+        return []
+    # of so many numbers between 0 and 1, the greatest drawn says how many there are
+    count = len(drawn) / max(r["r"] for r in drawn) if len(drawn) == DRAWN else len(drawn)
+    ranges = min(MOST_RANGES, max(RANGES, int(count / RANGE_ROWS)))
+    held = [tuple(r)[:-1] for r in drawn]
+    for n in reversed(range(len(keys))):
+        down = keys[n][2]
+        # NaN is the greatest number
+        held.sort(key=lambda r, n=n, down=down: ((r[n] is None) == (nulls_last != down), (r[n] != r[n], 0 if r[n] is None or r[n] != r[n] else r[n]) if r[n] is not None else ()), reverse=down)
+    return list(dict.fromkeys(held[k * len(held) // ranges] for k in range(1, ranges)))
+
+
+def _literal(value, kind: str) -> Column:
+    return F.lit(str(value) if isinstance(value, Decimal) else value).cast(kind)
+
+
+def _range(bounds: list[tuple], keys: list[tuple[Column, str, bool]], nulls_last: bool) -> Column:
+    """How many bounds lie at or before the row, by binary search."""
+    held = [F.array(*[_literal(b[n], kind) for b in bounds]) for n, (_, kind, _) in enumerate(keys)]
+
+    def reached(row: Column, at: Column) -> Column:
+        made = F.lit(True)
+        for n, ((_, _, down), bound) in reversed(list(enumerate(zip(keys, held, strict=True)))):
+            x, y = F.get(bound, at), row[f"k{n}"]
+            before, after = (x > y, x < y) if down else (x < y, x > y)
+            made = F.when(before, True).when(after, False).when(x.isNull() & y.isNotNull(), not nulls_last).when(x.isNotNull() & y.isNull(), nulls_last).otherwise(made)
+        return made
+
+    size = len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(size.bit_length()))])
 
+    def search(row: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(at + step > size, at).when(reached(row, at + step - 1), at + step).otherwise(at))
 
-def _ascending(c: Column, kind: str) -> Column:
-    """A number that never falls where the value rises; of a text its first seven bytes."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        return c
-    if kind.startswith("decimal"):
-        return c.cast("double")
-    if kind == "boolean":
-        return c.cast("int")
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return epoch_micros(c, kind)
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(c.cast("string"), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    # the lambda's variable holds the keys: a column of them would be put into each step of the search and computed there
+    return F.transform(F.array(F.struct(*[c.alias(f"k{n}") for n, (c, _, _) in enumerate(keys)])), search)[0]
 
 
 def numbered(log: Log, name: str) -> DataFrame:
     """The rows with their position from 0 in the log's order.
 
-    Approximate quantiles of the leading order column give the bounds of ranges; rows are numbered inside each
-    range and start from the count of the ranges before.  The bounds and counts are RANGES values at most.
+    Keys of rows drawn at random bound ranges of the whole order, so that many rows of one leading value are parted too; rows are
+    numbered inside each range and start from the count of the ranges before.  The bounds and counts are MOST_RANGES values at most.
     """
     order = log.order_columns()
     if not order:
         raise ValueError("the log has no order")
-    # the leading key of the order that holds, after a sort its own, as a number that ascends with it
-    lead, down = log.ranked[0] if log.ranked else (F.col(f"`{(log.order or (log.time,))[0]}`"), False)
-    c = _ascending(lead, log.df.select(lead.alias("c")).dtypes[0][1])
-    c = -c if down else c
-    bounds = sorted(set(log.df.select(F.percentile_approx(c, [k / RANGES for k in range(1, RANGES)], 10000)).first()[0] or []))
-    held = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    # the number of bounds up to the value; a null comes first
-    # a null comes last after a sort, else first
-    part = F.coalesce(F.size(F.filter(held, lambda b: b <= c)), F.lit(RANGES if log.ranked else -1)) if bounds else F.lit(0)
-    rows = log.df.withColumn("__range", part)
+    nulls_last = bool(log.ranked)
+    keys = _comparable(log.order_keys(), log.df)
+    bounds = _bounds(log.df, keys, nulls_last) if keys else []
+    rows = log.df.withColumn("__range", _range(bounds, keys, nulls_last) if bounds else F.lit(0))
     counts = {r[0]: r[1] for r in rows.groupBy("__range").count().collect()}
     begins, total = [], 0
-    for k in sorted(counts):
-        begins += [F.lit(k), F.lit(total)]
-        total += counts[k]
-    begin = F.create_map(*begins)[F.col("__range")] if begins else F.lit(0)
+    for k in range(len(bounds) + 1):
+        begins.append(F.lit(total).cast("bigint"))
+        total += counts.get(k, 0)
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return rows.withColumn(name, (begin + inside).cast("bigint")).drop("__range")
+    return rows.withColumn(name, F.get(F.array(*begins), F.col("__range")) + inside).drop("__range")

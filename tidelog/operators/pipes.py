@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -431,8 +433,10 @@ def stream_context(log: Log, a: dict, later) -> Log:
     """The matches with the rows around them in the order of the whole window."""
     order = list(log.order or (log.time,))
     rows = numbered(log.at(log.whole, ranked=()), "__n")
-    # a match is found again by its order key
-    matched = rows.join(log.df.select(*order).distinct(), order, "left_semi").select("__n")
+    # a match is found again by its order key, null or not
+    keys = log.df.select(*[F.col(f"`{n}`").alias(f"__m{k}") for k, n in enumerate(order)]).distinct()
+    on = reduce(and_, [F.col(f"`{n}`").eqNullSafe(F.col(f"__m{k}")) for k, n in enumerate(order)])
+    matched = rows.join(keys, on, "left_semi").select("__n")
     around = matched.select(F.explode(F.sequence(F.col("__n") - a["before"], F.col("__n") + a["after"])).alias("__n")).distinct()
     return log.at(rows.join(around, "__n", "left_semi").drop("__n"))
 
