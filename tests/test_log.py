@@ -189,3 +189,20 @@ def test_context_looks_up_ranges_by_search(spark):
     assert time.monotonic() - began < 30
     log = logs(spark, [(None, "none", "x", "0"), (1, "one", "x", "1"), (2, "two", "x", "2"), (3, "three", "x", "3")])
     assert sorted(r.b for r in query(log, "b:=0 | stream_context before 1 after 1").collect()) == ["0", "1"]
+
+
+def test_sample_over_a_time_that_repeats(spark):
+    # ranges are parted by the order's second key too where the first is the same
+    df = spark.range(0, 100_000, 1, 1).select(F.col("id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id div 50000)").alias("ts"))
+    began = time.monotonic()
+    assert sorted(r.id for r in query(Log(df, time="ts", order=("ts", "id")), "* | sample 1000").collect()) == list(range(0, 100_000, 1000))
+    assert time.monotonic() - began < 30
+    assert _tasks_with_rows(spark, Log(df.where("id < 50000"), time="ts", order=("ts", "id")), "* | sample 1") > 3
+
+
+def _tasks_with_rows(spark, log, text):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return query(log, text).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
