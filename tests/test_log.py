@@ -197,7 +197,15 @@ def test_sample_over_a_time_that_repeats(spark):
     began = time.monotonic()
     assert sorted(r.id for r in query(Log(df, time="ts", order=("ts", "id")), "* | sample 1000").collect()) == list(range(0, 100_000, 1000))
     assert time.monotonic() - began < 30
-    assert _tasks_with_rows(spark, Log(df.where("id < 50000"), time="ts", order=("ts", "id")), "* | sample 1") > 3
+    assert _tasks_with_rows(spark, Log(df.where("id < 50000").repartition(4), time="ts", order=("ts", "id")), "* | sample 1") > 3
+
+
+def test_sort_by_few_texts_is_parted(spark):
+    df = spark.range(0, 20_000, 1, 4).select(F.col("id"), F.element_at(F.array(*map(F.lit, ("view", "error"))), (F.col("id") % 2 + 1).cast("int")).alias("kind"))
+    log = Log(df, order=("id",))
+    assert sorted(r.id for r in query(log, "* | sort by (kind) | sample 4000").collect()) == [1, 4000, 8001, 12000, 16001]
+    assert _tasks_with_rows(spark, log, "* | sort by (kind) | sample 1") > 3
+    assert "Sort [" not in query(log, "* | sort by (kind) | sample 4")._jdf.queryExecution().optimizedPlan().toString()
 
 
 def _tasks_with_rows(spark, log, text):
@@ -206,3 +214,21 @@ def _tasks_with_rows(spark, log, text):
         return query(log, text).select(F.spark_partition_id().alias("p")).distinct().count()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_offset_gathers_no_whole_table(spark):
+    log = logs(spark, [(k, f"m{k}", str(k % 3), str(k)) for k in range(100)])
+    for text, wanted in (
+        ("* | sort by (_time_ns) | offset 10 | limit 3", [10, 11, 12]),
+        ("* | sort by (a) desc | offset 2 | fields _time_ns | limit 2", [8, 11]),
+        ("* | offset 98 | limit 5", [98, 99]),
+        ("* | sort by (_time_ns) desc | offset 90 | filter a:=0 | limit 2", [9, 6]),
+        ("* | offset 3 | offset 4 | limit 1", [7]),
+        ("* | offset 90 | tail 2", [98, 99]),
+        ("* | offset 5 | limit 0", []),
+        ("* | sort by (_time_ns) | offset 10 | limit 1000000", list(range(10, 100))),
+    ):
+        found = query(log, text)
+        assert [r[0] for r in found.select("_time_ns").collect()] == wanted, text
+        assert "SinglePartition" not in found._jdf.queryExecution().sparkPlan().toString(), text
+        assert "GlobalLimit" not in found._jdf.queryExecution().sparkPlan().toString(), text

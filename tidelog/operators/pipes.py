@@ -19,6 +19,9 @@ from tidelog.plans.language import And, Everything, Leaf, Not, Or, Query
 #: Prefix of columns that carry the order and never reach a result.
 HIDDEN = "__o"
 
+#: First rows that one task may hold; to leave out more, rows are numbered.
+FIRST_ROWS = 100_000
+
 
 def _set(log: Log, name: str, value: Column) -> Log:
     return log.at(log.df.withColumn(name, value))
@@ -313,6 +316,9 @@ def sort(log: Log, a: dict, later) -> Log:
             keys += [(log.number(name), desc), (log.text(name), desc)]
     ties = [(F.col(f"`{n}`"), False) for n in (log.order or ()) if log.has(n) and n not in dict(a["keys"])]
     log = _held(log, tuple(keys + list(log.ranked or ties)), later)
+    if a.get("limit") is None and later is not None and later.positional:
+        # the stage that depends on the order sorts by the kept keys, or numbers the rows: sorting here would be done twice
+        return log
     df = log.df.orderBy(*log.order_columns())
     return log.at(df.limit(a["limit"]) if a.get("limit") is not None else df)
 
@@ -340,8 +346,11 @@ def limit(log: Log, a: dict, later) -> Log:
 
 
 def offset(log: Log, a: dict, later) -> Log:
-    if later.positional or not log.order_columns():
-        return log.at(_ordered(log).offset(a["n"]))
+    if not log.order_columns():
+        return log.at(log.df.offset(a["n"]))
+    if later.most is not None and a["n"] + later.most <= FIRST_ROWS:
+        # a limit follows: what is left lies among the first rows, and each task keeps only these
+        return log.at(_ordered(log).limit(a["n"] + later.most).offset(a["n"]))
     # by number: no task has to hold all the rows that follow
     return log.at(numbered(log, "__n").where(F.col("__n") >= a["n"]).drop("__n"))
 

@@ -11,16 +11,22 @@ from tidelog.log import Log
 from tidelog.operators.pipes import HIDDEN, STAGES, keep
 from tidelog.plans.language import PROJECTING, Query, fields_of, parse
 
+#: Stages that leave a row for each row, in the same order.
+_ROWWISE = {
+    "fields", "delete", "rename", "copy", "drop_empty_fields", "format", "extract", "extract_regexp", "unpack_json", "unpack_logfmt", "unpack_syslog", "unpack_words",
+    "pack_json", "pack_logfmt", "replace", "replace_regexp", "collapse_nums", "pattern", "decolorize", "math", "len", "hash", "json_array_len",
+}
 _POSITIONAL = {"limit", "offset", "tail", "sample", "rank", "sort", "first", "last", "stats"}
 
 
 @dataclass(frozen=True)
 class Later:
-    """What the stages after one need: fields, whole records, the rows' order."""
+    """What the stages after one need: fields, whole records, the rows' order, and how many of the first rows where that is known."""
 
     reads: frozenset
     open: bool
     positional: bool
+    most: int | None = None
 
 
 def _later(pipes: tuple) -> Later:
@@ -30,7 +36,8 @@ def _later(pipes: tuple) -> Later:
         if pipe.name in PROJECTING:
             opened = False
             break
-    return Later(frozenset(reads), opened, any(p.name in _POSITIONAL for p in pipes))
+    cut = next((p for p in pipes if p.name not in _ROWWISE), None)
+    return Later(frozenset(reads), opened, any(p.name in _POSITIONAL for p in pipes), cut.args["n"] if cut and cut.name == "limit" else None)
 
 
 def run(log: Log, query: Query | str, now_ns: int | None = None) -> Log:
