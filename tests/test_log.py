@@ -1,9 +1,13 @@
 import json
 import time
+from datetime import datetime, timedelta
+from decimal import Decimal
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.log import Log
+from tidelog.operators import numbering
 from tidelog.plans.compiler import query, run
 from tidelog.sources import formats, store
 from tidelog.streaming import tail
@@ -200,6 +204,34 @@ def test_sample_over_a_time_that_repeats(spark):
     assert _tasks_with_rows(spark, Log(df.where("id < 50000").repartition(4), time="ts", order=("ts", "id")), "* | sample 1") > 3
 
 
+def test_ranges_are_found_by_compiled_steps(spark):
+    # a lambda is interpreted for each row and bound; and a query with 256 bounds is built without a column for each
+    df = spark.range(0, 30_000, 1, 1).select(F.col("id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id div 50)").alias("ts"))
+    found = query(Log(df, time="ts", order=("ts", "id")), "* | sample 10000")
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in found.collect()) == [0, 10_000, 20_000]
+
+
+def test_positions_in_orders_of_all_types(spark):
+    rows = []
+    for k in range(2000):
+        n = k * 7919 % 2000
+        text = f"\"{n:04}\\ 'é\n{chr(0x1F300 + n % 50)}\x01" if n % 9 else f"{n % 5}" * (255 + n % 5)
+        rows.append((k, *(None if n % 17 == m else x for m, x in enumerate((
+            datetime(1970, 1, 1) + timedelta(days=n - 1000, microseconds=n * 86_399_999_999 // 2000), (-1) ** n * 1.1**(n % 700) if n % 13 else float(("nan", "inf", "-inf")[n % 3]),
+            Decimal(n - 1000) * Decimal("1e12") / 8, text, n % 2 == 0, (datetime(1900, 1, 1) + timedelta(days=n * 50)).date(), n * 3 - 3000,
+        )))))
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, x double, d decimal(30, 3), t string, b boolean, day date, n int").repartition(3)
+    for name, down in (("ts", None), ("x", True), ("d", False), ("t", True), ("b", False), ("day", True), ("n", None)):
+        log = Log(df, order=(name, "id"), ranked=() if down is None else ((F.col(name), down), (F.col("id"), not down)))
+        keys = numbering._comparable(log.order_keys(), df)
+        most = numbering._ranged(df, numbering._bounds(df, keys, bool(log.ranked)), keys, bool(log.ranked)).groupBy("__range").count().agg(F.max("count")).first()[0]
+        # all rows were drawn; of the long texts, those with the same 256 first characters stay together
+        assert most < (100 if name == "t" else 20), (name, most)
+        found = numbering.numbered(log, "__n").withColumn("wanted", F.row_number().over(Window.orderBy(*log.order_columns())) - 1)
+        assert found.where("__n <> wanted or __n is null").count() == 0, name
+
+
 def test_sort_by_few_texts_is_parted(spark):
     df = spark.range(0, 20_000, 1, 4).select(F.col("id"), F.element_at(F.array(*map(F.lit, ("view", "error"))), (F.col("id") % 2 + 1).cast("int")).alias("kind"))
     log = Log(df, order=("id",))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
+import json
+from datetime import timedelta
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,30 +61,36 @@ def _bounds(rows: DataFrame, keys: list[tuple[Column, str, bool]], nulls_last: b
     return list(dict.fromkeys(held[k * len(held) // ranges] for k in range(1, ranges)))
 
 
-def _literal(value, kind: str) -> Column:
-    return F.lit(str(value) if isinstance(value, Decimal) else value).cast(kind)
+def _text(value) -> str | None:
+    """A value as Spark reads it back from text."""
+    if isinstance(value, timedelta):
+        seconds, micros = divmod(abs(value) // timedelta(microseconds=1), 1_000_000)
+        return f"{'-' if value < timedelta() else ''}{seconds // 86400} {seconds // 3600 % 24}:{seconds // 60 % 60}:{seconds % 60}.{micros:06}"
+    return None if value is None else str(value)
 
 
-def _range(bounds: list[tuple], keys: list[tuple[Column, str, bool]], nulls_last: bool) -> Column:
-    """How many bounds lie at or before the row, by binary search."""
-    held = [F.array(*[_literal(b[n], kind) for b in bounds]) for n, (_, kind, _) in enumerate(keys)]
+def _array(values: list, kind: str) -> Column:
+    """A constant array, made from one text: a column for each value takes milliseconds to build."""
+    return F.from_json(F.lit(json.dumps([_text(x) for x in values])), "array<string>").cast(f"array<{kind}>")
 
-    def reached(row: Column, at: Column) -> Column:
-        made = F.lit(True)
-        for n, ((_, _, down), bound) in reversed(list(enumerate(zip(keys, held, strict=True)))):
-            x, y = F.get(bound, at), row[f"k{n}"]
-            before, after = (x > y, x < y) if down else (x < y, x > y)
-            made = F.when(before, True).when(after, False).when(x.isNull() & y.isNotNull(), not nulls_last).when(x.isNotNull() & y.isNull(), nulls_last).otherwise(made)
-        return made
-
-    size = len(bounds)
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(size.bit_length()))])
 
-    def search(row: Column) -> Column:
-        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(at + step > size, at).when(reached(row, at + step - 1), at + step).otherwise(at))
+def _ranged(rows: DataFrame, bounds: list[tuple], keys: list[tuple[Column, str, bool]], nulls_last: bool) -> DataFrame:
+    """The rows with `__range`, how many bounds lie at or before the row, by binary search.
 
-    # the lambda's variable holds the keys: a column of them would be put into each step of the search and computed there
-    return F.transform(F.array(F.struct(*[c.alias(f"k{n}") for n, (c, _, _) in enumerate(keys)])), search)[0]
+    Each step is a projection of its own, which Spark compiles; a search in a lambda is interpreted and takes microseconds for each comparison.
+    """
+    names = [(f"__range_k{n}", f"__range_b{n}", _array([b[n] for b in bounds], kind), down) for n, (_, kind, down) in enumerate(keys)]
+    found = rows.withColumns({key: c for (key, _, _, _), (c, _, _) in zip(names, keys, strict=True)} | {"__range": F.lit(0)})
+    at = F.col("__range")
+    for step in [1 << k for k in reversed(range(len(bounds).bit_length()))]:
+        reached = F.lit(True)
+        for key, bound, _, down in reversed(names):
+            x, y = F.col(bound), F.col(key)
+            before, after = (x > y, x < y) if down else (x < y, x > y)
+            reached = F.when(before, True).when(after, False).when(x.isNull() & y.isNotNull(), not nulls_last).when(x.isNotNull() & y.isNull(), nulls_last).otherwise(reached)
+        found = found.withColumns({bound: F.get(held, at + step - 1) for _, bound, held, _ in names})
+        found = found.withColumn("__range", F.when(at + step > len(bounds), at).when(reached, at + step).otherwise(at))
+    return found.drop(*[n for key, bound, _, _ in names for n in (key, bound)])
 
 
 def numbered(log: Log, name: str) -> DataFrame:
@@ -97,11 +105,8 @@ def numbered(log: Log, name: str) -> DataFrame:
     nulls_last = bool(log.ranked)
     keys = _comparable(log.order_keys(), log.df)
     bounds = _bounds(log.df, keys, nulls_last) if keys else []
-    rows = log.df.withColumn("__range", _range(bounds, keys, nulls_last) if bounds else F.lit(0))
+    rows = _ranged(log.df, bounds, keys, nulls_last) if bounds else log.df.withColumn("__range", F.lit(0))
     counts = {r[0]: r[1] for r in rows.groupBy("__range").count().collect()}
-    begins, total = [], 0
-    for k in range(len(bounds) + 1):
-        begins.append(F.lit(total).cast("bigint"))
-        total += counts.get(k, 0)
+    begins = list(accumulate((counts.get(k, 0) for k in range(len(bounds))), initial=0))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return rows.withColumn(name, F.get(F.array(*begins), F.col("__range")) + inside).drop("__range")
+    return rows.withColumn(name, F.get(_array(begins, "bigint"), F.col("__range")) + inside).drop("__range")
