@@ -1,4 +1,5 @@
 import json
+import re
 import time
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -212,6 +213,19 @@ def test_ranges_are_found_by_compiled_steps(spark):
     assert sorted(r.id for r in found.collect()) == [0, 10_000, 20_000]
 
 
+def test_ranges_of_five_keys_fit_a_compiled_method(spark):
+    # the JVM compiles no method of 8000 bytes or more
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(0, 3000, 1, 1).select(F.col("id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id)").alias("ts"), (F.col("id") % 3).cast("string").alias("kind"))
+        found = query(Log(df, time="ts", order=("ts", "id")), "* | sort by (kind) desc | sample 40 | fields id")
+        code = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000, sizes
+
+
 def test_positions_in_orders_of_all_types(spark):
     rows = []
     for k in range(2000):

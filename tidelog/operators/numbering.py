@@ -69,28 +69,44 @@ def _text(value) -> str | None:
     return None if value is None else str(value)
 
 
-def _array(values: list, kind: str) -> Column:
-    """A constant array, made from one text: a column for each value takes milliseconds to build."""
-    return F.from_json(F.lit(json.dumps([_text(x) for x in values])), "array<string>").cast(f"array<{kind}>")
+def _array(values: list, kind: str, text: str = "string") -> Column:
+    """A constant array, made from one JSON text: a column for each value takes milliseconds to build."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{text}>").cast(f"array<{kind}>")
 
 
 def _ranged(rows: DataFrame, bounds: list[tuple], keys: list[tuple[Column, str, bool]], nulls_last: bool) -> DataFrame:
     """The rows with `__range`, how many bounds lie at or before the row, by binary search.
 
     Each step is a projection of its own, which Spark compiles; a search in a lambda is interpreted and takes microseconds for each comparison.
+    Keys of one direction are compared as one struct, nulls first: more code in a step makes a method that the JVM does not compile.
     """
-    names = [(f"__range_k{n}", f"__range_b{n}", _array([b[n] for b in bounds], kind), down) for n, (_, kind, down) in enumerate(keys)]
-    found = rows.withColumns({key: c for (key, _, _, _), (c, _, _) in zip(names, keys, strict=True)} | {"__range": F.lit(0)})
+    runs: list[tuple[bool, list]] = []
+    for n, (c, kind, down) in enumerate(keys):
+        flag = [(c.isNull(), "boolean", [str(b[n] is None).lower() for b in bounds])] if nulls_last != down else []
+        parts = [*flag, (c, kind, [_text(b[n]) for b in bounds])]
+        if runs and runs[-1][0] == down:
+            runs[-1][1].extend(parts)
+        else:
+            runs.append((down, parts))
+    found, held = rows.withColumn("__range", F.lit(0)), []
+    for n, (down, parts) in enumerate(runs):
+        names = [f"k{k}" for k in range(len(parts))]
+        found = found.withColumn(f"__range_k{n}", F.struct(*[c.alias(k) for k, (c, _, _) in zip(names, parts, strict=True)]))
+        made = [dict(zip(names, b, strict=True)) for b in zip(*[texts for _, _, texts in parts], strict=True)]
+        kinds = ", ".join(f"{k}: {kind}" for k, (_, kind, _) in zip(names, parts, strict=True))
+        held.append((_array(made, f"struct<{kinds}>", f"struct<{', '.join(f'{k}: string' for k in names)}>"), F.col(f"__range_k{n}"), down))
     at = F.col("__range")
     for step in [1 << k for k in reversed(range(len(bounds).bit_length()))]:
         reached = F.lit(True)
-        for key, bound, _, down in reversed(names):
-            x, y = F.col(bound), F.col(key)
-            before, after = (x > y, x < y) if down else (x < y, x > y)
-            reached = F.when(before, True).when(after, False).when(x.isNull() & y.isNotNull(), not nulls_last).when(x.isNotNull() & y.isNull(), nulls_last).otherwise(reached)
-        found = found.withColumns({bound: F.get(held, at + step - 1) for _, bound, held, _ in names})
-        found = found.withColumn("__range", F.when(at + step > len(bounds), at).when(reached, at + step).otherwise(at))
-    return found.drop(*[n for key, bound, _, _ in names for n in (key, bound)])
+        for n, (array, y, down) in reversed(list(enumerate(held))):
+            # null past the last bound: not reached
+            x = F.get(array, at + step - 1)
+            if n == len(held) - 1:
+                reached = x >= y if down else x <= y
+            else:
+                reached = F.when(x > y if down else x < y, True).when(x == y, reached)
+        found = found.withColumn("__range", F.when(reached, at + step).otherwise(at))
+    return found.drop(*[f"__range_k{n}" for n in range(len(runs))])
 
 
 def numbered(log: Log, name: str) -> DataFrame:
